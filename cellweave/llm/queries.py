@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality
-from .common import fold
+from . import bpe, langid, neardup, quality, secrets, simhash, toxicity
+from .common import fold, materialise
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -20,6 +20,13 @@ def _labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _labelled(spark, sf_dir, "toxic").where(fold("doc_id", 5) != 0), "toxic")
+    found = toxicity.score(docs, model, ["doc_id"])
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(_labelled(spark, sf_dir, "quality").where(fold("doc_id", 4) != 2), "quality")
     found = quality.score(table(spark, sf_dir, "documents"), model, ["doc_id"])
@@ -33,6 +40,31 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "margin_bytes", "rejected")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = materialise(simhash.fingerprints(docs), "simhash")
+    near = simhash.within(found, radius=3)
+
+    def likeness(high: str, low: str):
+        return 1 - simhash.distance((F.col("high"), F.col("low")), (F.col(high), F.col(low))) / simhash.BITS
+
+    cols = ["doc_id", "n_chars", "edited_sha256", simhash.hexed(F.col("high"), F.col("low")).alias("fingerprint"), simhash.hexed(F.col("edited_high"), F.col("edited_low")).alias("edited_fingerprint"), likeness("edited_high", "edited_low").alias("near_edited"), likeness("next_high", "next_low").alias("near_next")]
+    return found.join(near, ["high", "low"], "left").select(*cols, F.coalesce("n_near", F.lit(0)).alias("n_near"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"), "n_live", "n_copied")
+
+
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.join(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -43,5 +75,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), ["doc_id"])
 
 
-QUERIES = {"op2_quality": op2_quality, "op5_language": op5_language, "op9_bpe": op9_bpe}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op5_language": op5_language, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets, "op8_jaccard": op8_jaccard, "op9_bpe": op9_bpe}
 ORACLES: dict[str, str] = {}
