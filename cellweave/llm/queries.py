@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, neardup, quality, secrets, simhash, toxicity
+from . import bpe, decontaminate, langid, neardup, quality, secrets, simhash, toxicity
 from .common import fold, materialise
 
 VOCABULARY = "word_bpe_49k.json"
@@ -65,6 +65,10 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.join(table(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("item", "item_id")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -75,5 +79,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), ["doc_id"])
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op5_language": op5_language, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets, "op8_jaccard": op8_jaccard, "op9_bpe": op9_bpe}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op5_language": op5_language, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets, "op8_jaccard": op8_jaccard, "op9_bpe": op9_bpe, "op10_decontaminate": op10_decontaminate}
 ORACLES: dict[str, str] = {}

@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS = 128
-#: Terms of one run of votes: their weights (3 at most) stay below 2^16 a counter.
-RUN = 16384
+#: Terms of one run of votes: their weights (3 at most) stay below 2^15, so the top counter keeps the sum's sign.
+RUN = 10000
 LANES = 0x0001000100010001
 
 
@@ -42,8 +42,9 @@ def terms(text: Column, side: int) -> Column:
 def votes(rows: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
     """`keys` (that tell rows apart) and for each of `texts` columns high0, low0, high1, low1 ...: the fingerprint's two halves."""
     one = rows.select(*keys, F.posexplode_outer(F.concat(*[terms(F.col(t), k) for k, t in enumerate(texts)])).alias("pos", "h"))
+    term = F.coalesce(F.col("h").bitwiseAND(F.lit(-2)), F.lit(0))
     weight = F.shiftright("h", 1).bitwiseAND(F.lit(3))
-    one = one.select(*keys, F.coalesce(F.col("h").bitwiseAND(F.lit(1)), F.lit(0)).alias("side"), F.coalesce(F.floor(F.col("pos") / RUN), F.lit(0)).alias("run"), F.coalesce(weight, F.lit(0)).alias("w"), F.coalesce(F.xxhash64("h"), F.lit(0)).alias("a"), F.coalesce(F.xxhash64("h", F.lit(1)), F.lit(0)).alias("b"))
+    one = one.select(*keys, F.coalesce(F.col("h").bitwiseAND(F.lit(1)), F.lit(0)).alias("side"), F.coalesce(F.floor(F.col("pos") / RUN), F.lit(0)).alias("run"), F.coalesce(weight, F.lit(0)).alias("w"), F.xxhash64(term).alias("a"), F.xxhash64(term, F.lit(1)).alias("b"))
     sums = [F.sum(F.shiftrightunsigned(c, j).bitwiseAND(F.lit(LANES)) * F.col("w")).alias(f"{c}{j}") for c in ("a", "b") for j in range(16)]
     runs = one.groupBy(*keys, "side", "run").agg(F.sum("w").alias("w"), *sums)
 
