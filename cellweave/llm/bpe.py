@@ -40,6 +40,10 @@ def byte_letters() -> list[str]:
     return letters
 
 
+#: Lengths of word beginnings whose states are kept for other words; all are shorter than any span of live positions.
+SHARED = (12, 8, 5)
+
+
 class Encoder:
     """Encodes symbol sequences. `parts[id]`: what the token is merged from; `made[id]`: rank of that merge, -1 for symbols."""
 
@@ -63,6 +67,7 @@ class Encoder:
         self.by_pair = {a << 20 | b: k for (a, b), k in self.rank.items()}
         self.left_edge = {t: self._spine(t, 0) for t in self.usable.values()}
         self.right_edge = {t: self._spine(t, 1) for t in self.usable.values()}
+        self.begun: dict[str, dict[int, tuple[int, int]]] = {}
         self.buffered = 0
 
     def _size(self, token: str) -> int:
@@ -109,8 +114,12 @@ class Encoder:
         get, n, most, tail = self.usable.get, len(word), self.most, self.suffix
         rank, left_edge, right_edge = self.by_pair.get, self.left_edge, self.right_edge
         last: dict[int, tuple[int, int]] = {}  # position: token that ends there, where it starts
-        done = 0
-        for i in range(1, n + 1):
+        done = begun = 0
+        for p in SHARED:
+            if p < n and (known := self.begun.get(word[:p])) is not None:
+                last, begun = known.copy(), p
+                break
+        for i in range(begun + 1, n + 1):
             end = tail if i == n else ""
             for j in range(i - most if i > most else 0, i):
                 t = get(word[j:i] + end)
@@ -133,6 +142,10 @@ class Encoder:
                         continue
                 last[i] = t, j
                 break
+            if i in SHARED and i < n:
+                if len(self.begun) >= 150_000:
+                    self.begun.clear()
+                self.begun[word[:i]] = last.copy()
             if i - done >= 4 * most and i % most == 0 and i < n:
                 live = {p for p in range(i - most + 1, i + 1) if p in last}
                 while len(live) > 1:
@@ -184,7 +197,7 @@ class WordBpe:
     `library_text` decodes as the library does for a file without a decoder (token strings with spaces between);
     `text` decodes to plain words."""
 
-    def __init__(self, path: str, cache: int = 200_000):
+    def __init__(self, path: str, cache: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -195,15 +208,15 @@ class WordBpe:
         self.string = {v: k for k, v in (model["vocab"] | self.special).items()}
         self.letters = byte_letters()
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        # white space only parts words, so runs of it need no replacement first
         self.words = regex.compile(pattern.replace(r"\s", SPACE))
-        self.spaces = regex.compile(f"[{SPACE}]+")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cache: dict[str, tuple[str, str, int]] = {}
         self.old: dict[str, tuple[str, str, int]] = {}
         self.limit = cache
 
     def word_ids(self, word: str) -> Iterator[int]:
-        return self.encoder.encode("".join(self.letters[b] for b in word.encode("utf-8", "surrogatepass")))
+        return self.encoder.encode(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))
 
     def pieces(self, text: str) -> Iterator[tuple[bool, str]]:
         """(is special, string): special strings as they stand, and the words between them."""
@@ -211,7 +224,7 @@ class WordBpe:
             if part in self.special:
                 yield True, part
             elif part:
-                flat = self.spaces.sub(" ", unicodedata.normalize("NFC", part)).replace("Σ", "σ").lower()
+                flat = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
                 for w in self.words.finditer(flat):
                     yield False, w[0]
 
@@ -223,7 +236,7 @@ class WordBpe:
                 yield from self.word_ids(piece)
 
     def library_text(self, ids) -> str:
-        return " ".join(self.string[i] for i in ids if i in self.string)
+        return " ".join([self.string[i] for i in ids if i in self.string])
 
     def text(self, ids) -> str:
         d = Decoder(self.string, self.suffix)
@@ -251,7 +264,7 @@ class WordBpe:
             if special:
                 words = [part]
             else:
-                flat = self.spaces.sub(" ", unicodedata.normalize("NFC", part)).replace("Σ", "σ").lower()
+                flat = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
                 words = self.words.findall(flat)
             get = self.cache.get
             for k in range(0, len(words), 4096):
