@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, neardup, quality, secrets, simhash, suffix, toxicity
+from . import bpe, decontaminate, langid, licenses, neardup, quality, secrets, simhash, suffix, toxicity
 from .common import fold, materialise
 
 VOCABULARY = "word_bpe_49k.json"
@@ -37,6 +37,10 @@ def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove(table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), ["doc_id"]).drop("missing", "block")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(fold("doc_id", 4) != 2))
@@ -83,5 +87,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), ["doc_id"])
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_suffix": op3_suffix, "op5_language": op5_language, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets, "op8_jaccard": op8_jaccard, "op9_bpe": op9_bpe, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_suffix": op3_suffix, "op4_licenses": op4_licenses, "op5_language": op5_language, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets, "op8_jaccard": op8_jaccard, "op9_bpe": op9_bpe, "op10_decontaminate": op10_decontaminate}
 ORACLES: dict[str, str] = {}
