@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 MASK = 0xFFFFFFFFFFFFFFFF
 #: Bytes of text that one vectorised step works on.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def fold(id_col: str, modulus: int) -> Column:
