@@ -175,7 +175,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int
     parts = groups.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     placed = groups.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("rep"), F.col(text).alias("text"))
-    grouped = plain.join(placed, "rep")
+    grouped = plain.hint("merge").join(placed, "rep")  # the same plan at every size
     units = grouped.select("rep", "group", "part", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     low, high = F.least("part", "other"), F.greatest("part", "other")
     unit = F.concat_ws(":", "group", low.cast("string"), high.cast("string"))
