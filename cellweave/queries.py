@@ -129,7 +129,7 @@ def _join(name: str, left: str, right: str, kind: str, op: str, sql: str, source
 
 
 RED_L = f"(SELECT l AS x, document_id, sentence_id FROM {LOC} SEMI JOIN (SELECT * FROM tok WHERE name = 'red widget') USING (document_id, sentence_id))"
-OLD_L = f"(SELECT l AS y, document_id, sentence_id FROM {LOC} SEMI JOIN (SELECT * FROM tok WHERE name = 'old gear') USING (document_id, sentence_id) WHERE l <> 'asia')"
+OLD_L = "(SELECT min(value) AS y, document_id, sentence_id FROM ent SEMI JOIN (SELECT * FROM tok WHERE name = 'old gear') USING (document_id, sentence_id) WHERE type = 'LOCATION' AND value <> 'asia' GROUP BY document_id, sentence_id)"
 _EQ = ("CONTAINS('red widget') AND NER(LOCATION) BIND x", "CONTAINS('old gear') AND NER(LOCATION, 'africa', 'america', 'europe', 'middle east') BIND v")
 _join("join_equality", *_EQ, "INNER", "=", f"SELECT x, y, count(*) AS cnt FROM {RED_L} JOIN {OLD_L} ON x = y GROUP BY ALL")
 _join("join_left", *_EQ, "LEFT", "=", f"SELECT x, y, count(*) AS cnt FROM {RED_L} LEFT JOIN {OLD_L} ON x = y GROUP BY ALL")
