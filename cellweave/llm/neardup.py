@@ -30,6 +30,10 @@ from .common import materialise, mix, shingle_sets, slices
 from .graph import components
 
 
+#: Stands for a null id, so that it comes last.
+NULL_ID = (1 << 63) - 1
+
+
 def plan_bands(threshold: float, recall: float, rows: int = 6) -> int:
     """The least number of bands of `rows` rows by which a pair at the threshold meets with probability `recall`."""
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
@@ -165,7 +169,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int
     bands = plan_bands(threshold, recall, rows)
     seen = materialise(_sets(docs, id_col, text, width, bands, rows), "sets")
     worded = seen.where(F.col("set_key").isNotNull())
-    reps = worded.groupBy("set_key").agg(F.coalesce(F.min("doc"), F.lit(-(1 << 63))).alias("rep"), F.count("*").alias("n_copies"))
+    reps = worded.groupBy("set_key").agg(F.coalesce(F.min("doc"), F.lit(NULL_ID)).alias("rep"), F.count("*").alias("n_copies"))
     reps = materialise(reps, "reps")
     banded = worded.where(F.col("bands").isNotNull()).select("set_key", "bands").join(reps.select("set_key", "rep"), "set_key")
     each = materialise(banded.select("rep", F.explode("bands").alias("band")).distinct(), "bands")
@@ -174,7 +178,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int
     groups = components(ties).select(F.col("node").alias("rep"), F.col("label").alias("group"))
     parts = groups.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     placed = groups.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("rep"), F.col(text).alias("text"))
+    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("rep"), F.col(text).alias("text"))
     grouped = plain.hint("merge").join(placed, "rep")  # the same plan at every size
     units = grouped.select("rep", "group", "part", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     low, high = F.least("part", "other"), F.greatest("part", "other")
@@ -186,5 +190,5 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int
     classes = components(found.select(F.col("rep").alias("a"), F.col("least").alias("b")))
     of_rep = reps.join(links, "rep", "left").join(classes, reps["rep"] == classes["node"], "left").select("set_key", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("label", "rep").alias("class"))
     out = seen.select("doc", "set_key").join(of_rep, "set_key", "left")
-    known = F.when(F.col("set_key").isNull(), F.col("doc")).otherwise(F.nullif("class", F.lit(-(1 << 63))))
+    known = F.when(F.col("set_key").isNull(), F.col("doc")).otherwise(F.nullif("class", F.lit(NULL_ID)))
     return out.select(F.col("doc").cast(docs.schema[id_col].dataType).alias(id_col), known.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))

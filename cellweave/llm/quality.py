@@ -98,8 +98,9 @@ class FactorMachine:
         linear = np.add.reduceat(self.weight[index] * value, at[:-1])
         return self.bias + linear + 0.5 * (sums * sums - squares).sum(axis=1), sums
 
-    def fit(self, b: Batch, y: np.ndarray, epochs: int, rate: float, decay: float, block: int = 256, seed: int = 7) -> None:
+    def fit(self, b: Batch, y: np.ndarray, epochs: int, rate: float, decay: float, seed: int = 7) -> None:
         rng, n = np.random.default_rng(seed), len(y)
+        block = max(16, min(256, n // 12))
         g_w, g_v, g_b = np.full_like(self.weight, 1e-6), np.full_like(self.factor, 1e-6), 1e-6
         for _ in range(epochs):
             for rows in np.array_split(rng.permutation(n), max(1, n // block)):
