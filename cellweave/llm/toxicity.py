@@ -36,7 +36,9 @@ CODE = np.zeros(512, np.int64)
 for _c, _k in PLACE.items():
     CODE[ord(_c)] = _k
 #: Words with a sign inside, or before them; a letter three times or more; three or more single letters apart.
-HIDDEN = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){2,}[^\W\d_](?![^\W_])|[@$!|+(€]?[^\W_]*[^\W\d_][0-9@$!|+(€*#]{1,2}[^\W_]+[0-9@$!|+(€*#^\W_]*|(?<![\w@$!|+(€*#])[0-9@$!|+(€][^\W\d_][^\W_]+|[^\W_]*([^\W\d_])\1\1[^\W_]*")
+HIDDEN = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){2,}[^\W\d_](?![^\W_])|(?<![^\W_])[@$!|+(€]?[^\W_]*[^\W\d_][0-9@$!|+(€*#]{1,2}[^\W_]+(?:[^\W_]|[@$!|+(€*#])*|(?<![\w@$!|+(€*#])[0-9@$!|+(€][^\W\d_][^\W_]+|(?<![^\W_])[^\W_]*([^\W\d_])\1\1[^\W_]*")
+#: What every such stretch holds; most texts hold none, and one linear search tells.
+CORE = re.compile(r"(?<![^\W_])[^\W\d_][ .\-_*][^\W\d_][ .\-_*][^\W\d_](?![^\W_])|[^\W\d_][0-9@$!|+(€*#]{1,2}[^\W_]|(?<![\w@$!|+(€*#])[0-9@$!|+(€][^\W\d_][^\W_]|([^\W\d_])\1\1")
 COST_SIGN, COST_DROP, COST_JOIN = 1.0, 0.4, 0.3
 
 
@@ -116,7 +118,8 @@ class Channel:
         return found
 
     def text(self, text: str) -> str:
-        return HIDDEN.sub(lambda m: self.restore(m[0]), text.lower())
+        low = text.lower()
+        return HIDDEN.sub(lambda m: self.restore(m[0]), low) if CORE.search(low) else low
 
 
 BEGINNINGS = (3, 4, 6)
