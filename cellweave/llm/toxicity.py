@@ -2,8 +2,9 @@
 
 A character trigram model is counted over all texts. Stretches that can hide a word (leetspeak inside a word, runs of
 three or more equal letters, single letters apart) become lattices: a digit or sign can stand for itself or for letters,
-a repeated letter can be dropped, a separator can be dropped; each change has a cost, and Viterbi decoding under the
-trigram model picks the restored stretch. Other stretches have lattices of one path, which are left as they are.
+a repeated letter can be dropped, a separator can be dropped; each change has a cost, and so has a sign or separator that
+stays inside. Viterbi decoding under the trigram model picks the restored stretch; the next best readings follow the
+text. Other stretches have lattices of one path, which are left as they are.
 The restored text's words and word beginnings are scored by logistic regression over those that labelled toxic texts
 hold markedly more often.
 
@@ -36,10 +37,14 @@ CODE = np.zeros(512, np.int64)
 for _c, _k in PLACE.items():
     CODE[ord(_c)] = _k
 #: Words with a sign inside, or before them; a letter three times or more; three or more single letters apart.
-HIDDEN = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){2,}[^\W\d_](?![^\W_])|(?<![^\W_])[@$!|+(€]?[^\W_]*[^\W\d_][0-9@$!|+(€*#]{1,2}[^\W_]+(?:[^\W_]|[@$!|+(€*#])*|(?<![\w@$!|+(€*#])[0-9@$!|+(€][^\W\d_][^\W_]+|(?<![^\W_])[^\W_]*([^\W\d_])\1\1[^\W_]*")
+HIDDEN = re.compile(r"(?<![^\W_])(?:[^\W_@$!|+(€]|[@$!|+(€])(?:([ .\-_*])(?:[^\W_]|[@$!|+(€]))(?:\1(?:[^\W_]|[@$!|+(€]))+(?![^\W_])|(?<![^\W_])[@$!|+(€]?[^\W_]*[^\W\d_][0-9@$!|+(€*#]{1,2}[^\W_]+(?:[^\W_]|[@$!|+(€*#])*|(?<![^\W_])[^\W_]*[^\W\d_][@$!|+(€]{1,2}(?![\w@$!|+(€*#])|(?<![\w@$!|+(€*#])[0-9@$!|+(€][^\W\d_](?:[^\W_]|[@$!|+(€*#])+|(?<![^\W_])[^\W_]*([^\W\d_])\2\2[^\W_]*")
 #: What every such stretch holds; most texts hold none, and one linear search tells.
-CORE = re.compile(r"(?<![^\W_])[^\W\d_][ .\-_*][^\W\d_][ .\-_*][^\W\d_](?![^\W_])|[^\W\d_][0-9@$!|+(€*#]{1,2}[^\W_]|(?<![\w@$!|+(€*#])[0-9@$!|+(€][^\W\d_][^\W_]|([^\W\d_])\1\1")
-COST_SIGN, COST_DROP, COST_JOIN = 1.0, 0.4, 0.3
+CORE = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+(€])([ .\-_*])(?:[^\W_]|[@$!|+(€])\1(?:[^\W_]|[@$!|+(€])(?![^\W_])|[^\W\d_][0-9@$!|+(€*#]{1,2}[^\W_]|[^\W\d_][@$!|+(€]{1,2}(?![\w@$!|+(€*#])|(?<![\w@$!|+(€*#])[0-9@$!|+(€][^\W\d_][^\W_@$!|+(€*#]|([^\W\d_])\2\2")
+#: Costs of reading a sign as a letter, of leaving it, of dropping a repeated letter, of dropping a separator and of leaving it.
+COST_SIGN, COST_LEAVE, COST_DROP, COST_JOIN, COST_PART = 1.0, 6.0, 0.4, 0.3, 4.0
+#: Restorations that are kept for a stretch: the best stands in the text, the others follow it.
+BEST = 4
+REPEATED = re.compile(r"([^\W\d_])\1+")
 
 
 def trigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -80,37 +85,34 @@ class Channel:
             found = self.rows[a, b] = self.model[a, b].tolist()
         return found
 
-    def restore(self, stretch: str) -> str:
-        """Viterbi over (last two letters, last sign read); equal costs keep what was found first, the plainer path."""
+    def restore(self, stretch: str) -> list[str]:
+        """The `BEST` cheapest readings by Viterbi over (last two letters, last sign read), cheapest first; of equal costs the one found first."""
         found = self.known.get(stretch)
         if found is None:
-            states: dict[tuple[int, int, str], tuple[float, tuple]] = {(0, 0, ""): (0.0, ())}
+            states: dict[tuple[int, int, str], list[tuple[float, tuple]]] = {(0, 0, ""): [(0.0, ())]}
             for k, c in enumerate(stretch):
-                options: list[tuple[str, float]] = [(c, 0.0)]
-                options += [(o, COST_SIGN) for o in LEET.get(c, "")]
                 between = 0 < k < len(stretch) - 1 and c in " .-_*"
-                after: dict[tuple[int, int, str], tuple[float, tuple]] = {}
-                for (a, b, was), (cost, path) in states.items():
-                    ways = [(o, x) for o, x in options]
-                    if was == c and c in PLACE:
-                        ways.append(("", COST_DROP))
-                    if between:
-                        ways.append(("", COST_JOIN))
+                options = [(c, COST_PART if between else 0.0 if c in PLACE else COST_LEAVE)] + [(o, COST_SIGN) for o in LEET.get(c, "")]
+                after: dict[tuple[int, int, str], list[tuple[float, tuple]]] = {}
+                for (a, b, was), paths in states.items():
+                    ways = options + ([("", COST_DROP)] if was == c and c in PLACE else []) + ([("", COST_JOIN)] if between else [])
                     for o, x in ways:
-                        if o:
-                            p = PLACE.get(o, 0)
-                            key, total, longer = (b, p, c), cost + x + self._row(a, b)[p], (path, o)
-                        else:
-                            key, total, longer = (a, b, c), cost + x, path
-                        if key not in after or total < after[key][0]:
-                            after[key] = total, longer
-                states = after
-            best, path = min(((v[0] + self._row(a, b)[0], v[1]) for (a, b, _), v in states.items()), key=lambda x: x[0])
-            letters = []
-            while path:
-                path, o = path
-                letters.append(o)
-            found = "".join(reversed(letters))
+                        p = PLACE.get(o, 0)
+                        key, more = ((b, p, c), x + self._row(a, b)[p]) if o else ((a, b, c), x)
+                        after.setdefault(key, []).extend([(cost + more, (path, o) if o else path) for cost, path in paths])
+                states = {key: sorted(paths, key=lambda v: v[0])[:BEST] for key, paths in after.items()}
+            ends = sorted(((cost + self._row(a, b)[0], path) for (a, b, _), paths in states.items() for cost, path in paths), key=lambda v: v[0])
+            found = []
+            for _, path in ends:
+                letters = []
+                while path:
+                    path, o = path
+                    letters.append(o)
+                reading = "".join(reversed(letters))
+                if reading not in found:
+                    found.append(reading)
+                if len(found) == BEST:
+                    break
             if len(stretch) <= 40:
                 if len(self.known) > 200_000:
                     self.known.clear()
@@ -119,15 +121,24 @@ class Channel:
 
     def text(self, text: str) -> str:
         low = text.lower()
-        return HIDDEN.sub(lambda m: self.restore(m[0]), low) if CORE.search(low) else low
+        if not CORE.search(low):
+            return low
+        others: list[str] = []
+
+        def read(m: re.Match) -> str:
+            best, *rest = self.restore(m[0])
+            others.extend(rest)
+            return best
+
+        return " ".join([HIDDEN.sub(read, low), *others])
 
 
 BEGINNINGS = (3, 4, 6)
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, code) of each word and of its beginnings of 3, 4 and 6 bytes, and the number of words of each text."""
-    w = Words(texts, lower=False)
+    """(row, code) of each word and of its beginnings of 3, 4 and 6 bytes, and the number of words of each text. Repeated letters count once."""
+    w = Words([REPEATED.sub(r"\1", t) for t in texts], lower=False)
     size = w.end - w.start
     rows, codes = [w.row], [w.code]
     for n in BEGINNINGS:

