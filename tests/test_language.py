@@ -9,8 +9,8 @@ from cellweave.plans.parser import parse, period
 from cellweave.plans.validate import validate
 
 GOOD = [
-    "SELECT p FROM nyt WHERE NER(PERSON) BIND p",
-    "SELECT p, COUNT(*) FROM nyt WHERE CONTAINS('president') AND DATE(= 1988) AND NER(PERSON) BIND p GROUP BY p GRANULARITY SENTENCE ORDER BY COUNT(*) DESC",
+    "SELECT p FROM news WHERE NER(PERSON) BIND p",
+    "SELECT p, COUNT(*) FROM news WHERE CONTAINS('president') AND DATE(= 1988) AND NER(PERSON) BIND p GROUP BY p GRANULARITY SENTENCE ORDER BY COUNT(*) DESC",
     "SELECT DOCUMENT_ID, TITLE FROM c WHERE CONTAINS('a', 'b', 'c')",
     "SELECT SNIPPET(p, 20) FROM c WHERE NER(PERSON, 'x y') BIND p LIMIT 1000;",
     "SELECT p FROM c WHERE (CONTAINS('a') OR NOT CONTAINS('b*')) AND NER(PERSON) BIND p // note\n/* more */",
