@@ -88,4 +88,27 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_suffix": op3_suffix, "op4_licenses": op4_licenses, "op5_language": op5_language, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets, "op8_jaccard": op8_jaccard, "op9_bpe": op9_bpe, "op10_decontaminate": op10_decontaminate}
-ORACLES: dict[str, str] = {}
+#: What one kind of secret matches: whole matches, values (group 1) and the pieces between.
+_KIND = "SELECT doc_id, source, {no} AS kind_no, '{kind}' AS kind, {least} AS least, regexp_extract_all(t, '{p}') AS w, regexp_extract_all(t, '{p}', 1) AS v, string_split_regex(t, '{p}') AS g FROM d"
+_SQL_PATTERNS = {"owned": "([A-Za-z0-9+/_-]{24,})"}
+_SECRETS = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+k AS ({" UNION ALL ".join(_KIND.format(no=no, kind=kind, least=least, p=_SQL_PATTERNS.get(kind, pattern).replace("'", "''")) for no, (kind, pattern, _, least) in enumerate(secrets.KINDS))}),
+e AS (SELECT doc_id, source, kind_no, kind, least, unnest(w) AS w, unnest(v) AS v, unnest(g[1:len(w)]) AS g, unnest(range(len(w))) AS i FROM k WHERE len(w) > 0),
+p AS (SELECT *, CAST(sum(length(g) + length(w)) OVER (PARTITION BY doc_id, kind_no ORDER BY i) AS BIGINT) AS z FROM e),
+s AS (SELECT doc_id, source, kind_no, kind, v, z - length(w) AS a, z FROM p WHERE length(v) >= least AND (kind_no < 3 OR regexp_matches(v, '^[A-Za-z+/_-]{{0,200}}[0-9]') AND regexp_matches(v, '^[0-9+/_-]{{0,200}}[A-Za-z]'))),
+f AS (SELECT * FROM s WHERE kind_no < 3 OR NOT EXISTS (SELECT 1 FROM s b WHERE b.kind_no < 3 AND b.doc_id = s.doc_id AND b.a < s.z AND s.a < b.z)),
+own AS (SELECT v, count(DISTINCT coalesce(source, chr(1))) AS owners FROM f GROUP BY v),
+j AS (SELECT f.*, owners <= 1 AS live FROM f JOIN own USING (v)),
+r AS (SELECT doc_id, count(*) FILTER (kind_no = 0) AS n_assign, count(*) FILTER (kind_no = 1) AS n_access, count(*) FILTER (kind_no = 2) AS n_hex, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, kind_no) FILTER (kind_no < 3) AS base, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, kind_no) FILTER (kind_no < 3 OR live) AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied FROM j GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM documents LEFT JOIN r USING (doc_id)"""
+_JACCARD = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z_\\x{80}-\\x{10ffff}]+') AS w FROM documents),
+sh AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM w),
+rep AS (SELECT s, min(doc_id) AS rep, count(*) AS n_copies FROM sh WHERE len(s) > 0 GROUP BY s),
+g AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM rep),
+c AS (SELECT a.rep AS a, b.rep AS b, count(*) AS n, any_value(a.n) AS na, any_value(b.n) AS nb FROM g a JOIN g b ON a.x = b.x AND a.rep <> b.rep GROUP BY 1, 2),
+l AS (SELECT a, b FROM c WHERE n >= 0.8 * (na + nb - n)),
+t(node, label) AS (SELECT a, a FROM l UNION SELECT l.b, t.label FROM t JOIN l ON t.node = l.a),
+cls AS (SELECT node, least(node, min(label)) AS class FROM t GROUP BY node),
+k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT doc_id, coalesce(class, rep, doc_id) AS class_id, coalesce(n_links, 0) AS n_links, coalesce(n_copies, 1) AS n_copies FROM sh LEFT JOIN rep ON sh.s = rep.s LEFT JOIN cls ON cls.node = rep.rep LEFT JOIN k ON k.a = rep.rep"""
+ORACLES: dict[str, str] = {"op7_secrets": _SECRETS, "op8_jaccard": _JACCARD}
