@@ -338,6 +338,21 @@ def test_leaks(spark):
     assert decontaminate.leaks(table(spark, []), bench).count() == 0
 
 
+def test_leaks_of_long_items(spark):
+    """Items of 200 to 600 words that stand word for word in a document, or with a tenth of their words replaced."""
+    rng = random.Random(13)
+    items = [(k, prose(rng, 200 + 50 * k)) for k in range(9)]
+    docs = [(100 + k, prose(rng, 400)) for k in range(60)]
+    for k, text in items:
+        words = text.split()
+        for at in rng.sample(range(len(words)), len(words) // 10):
+            words[at] = f"other{at}"
+        docs += [(k, prose(rng, 70) + " " + text + " " + prose(rng, 90)), (20 + k, prose(rng, 50) + " " + " ".join(words)), (40 + k, prose(rng, 30) + " " + " ".join(text.split()[: len(text.split()) // 4]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item) for r in decontaminate.leaks(table(spark, docs), bench).collect()}
+    assert got == {(k, k) for k in range(9)} | {(20 + k, k) for k in range(9)}
+
+
 def test_common_weight():
     rng = random.Random(12)
     for _ in range(50):
