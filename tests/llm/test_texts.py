@@ -353,6 +353,20 @@ def test_leaks_of_long_items(spark):
     assert got == {(k, k) for k in range(9)} | {(20 + k, k) for k in range(9)}
 
 
+def test_leaks_of_a_third_of_the_rows(spark):
+    """A third of all rows hold an item with the same few words replaced, so that its other words are common."""
+    rng = random.Random(14)
+    items = [(k, prose(rng, 40)) for k in range(8)]
+    reworded = items[3][1].split()
+    for at in (4, 13, 27, 36):
+        reworded[at] = "other"
+    docs = [(k, prose(rng, 100)) for k in range(120)]
+    docs += [(500 + k, prose(rng, rng.randint(5, 60)) + " " + " ".join(reworded) + " " + prose(rng, 20)) for k in range(60)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item) for r in decontaminate.leaks(table(spark, docs), bench).collect()}
+    assert got == {(500 + k, 3) for k in range(60)}
+
+
 def test_common_weight():
     rng = random.Random(12)
     for _ in range(50):
