@@ -314,6 +314,16 @@ def test_licenses(spark):
     assert licenses.scan(table(spark, []), ["doc_id"]).count() == 0
 
 
+def test_licenses_wrapped_and_among_text(spark):
+    """Notices over several lines, behind comment signs, beside other text on the line, and several in one text."""
+    rng = random.Random(15)
+    mit = "/*\n * Permission is hereby granted, free of charge, to any person obtaining\n * a copy of this software and associated documentation files (the\n * \"Software\"), to deal in the Software without restriction, including\n * without limitation the rights to use, copy, modify, merge, publish,\n * distribute, sublicense, and/or sell copies of the Software\n */"
+    gpl = "This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."
+    rows = [(1, "intro\n" + mit), (2, gpl), (3, "# Redistribution and\n# use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met"), (4, "Copyright (c) 2019 Example Software Foundation Inc. All rights reserved."), (5, "This small helper library was written by Jane Doe in 2019. Released under the MIT License."), (6, prose(rng, 60) + " " + gpl.replace("\n#", "") + " " + prose(rng, 60)), (7, "Copyright 2020 Some One. All rights reserved. Licensed under the Apache License, Version 2.0. Docs: Licensed under CC BY 4.0."), (8, "Licensed under the Apache\n   License, Version 2.0 (the \"License\");\nyou may not use this file"), (9, "We reserved all of the rooms; the rights to the song are held by others. Copyright law is free.")]
+    got = Counter((r.doc_id, r.line, r.license) for r in licenses.scan(table(spark, rows), ["doc_id"]).collect())
+    assert got == Counter([(1, 2, "MIT"), (2, 0, "GPL-3.0"), (3, 0, "BSD-3-Clause"), (4, 0, "Proprietary"), (5, 0, "MIT"), (6, 0, "GPL-3.0"), (7, 0, "Proprietary"), (7, 0, "Apache-2.0"), (7, 0, "CC-BY-4.0"), (8, 0, "Apache-2.0")])
+
+
 def test_leaks(spark):
     rng = random.Random(11)
     items = [(k, prose(rng, rng.randint(15, 50))) for k in range(12)]
