@@ -2,7 +2,8 @@
 
 Candidates are the spans of three base kinds (assign, access, hex) and of `owned`: runs of 24 or more letters, digits
 and +/_- that have both letters and digits. Their hashes are aggregated by distinct repository and owner. A value that
-at most `max_owners` owners hold is live-looking; others are widely copied examples. Base spans are always reported;
+many repositories and many owners hold is a widely copied example; all others are live-looking. How many are many follows
+the table (see `copied`), unless `max_owners` is given: then more owners than that are many, whatever the repositories. Base spans are always reported;
 spans of kind `owned` are reported where their value is live-looking and no base span covers the same place.
 
 Defined results: null text counts as empty and has no spans. A null repository or owner counts as one more of its kind.
@@ -68,13 +69,22 @@ def ownership(found: DataFrame) -> DataFrame:
     return repositories.join(owners, "value_hash")
 
 
-def judged(found: DataFrame, max_owners: int) -> DataFrame:
-    """cw_key and its spans with repositories, owners and live (held by at most `max_owners` owners); distinct."""
+def copied(found: DataFrame, max_owners: int | None) -> Column:
+    """Whether a value is widely copied: at least a hundredth of the table's repositories, but 2 to 100, and a quarter of its owners,
+    but 2 to 10, hold it."""
+    if max_owners is not None:
+        return F.col("owners") > max_owners
+    repositories, owners = (found.groupBy(c).agg(F.lit(1).alias("one")).agg(F.count("*")).first()[0] for c in ("cw_repository", "cw_owner"))
+    return (F.col("repositories") >= min(100, max(2, -(-repositories // 100)))) & (F.col("owners") >= min(10, max(2, -(-owners // 4))))
+
+
+def judged(found: DataFrame, max_owners: int | None) -> DataFrame:
+    """cw_key and its spans with repositories, owners and live (not widely copied); distinct."""
     each = found.where((F.size("base") > 0) | (F.size("owned") > 0)).select("cw_key", F.explode(F.concat("base", "owned")).alias("s")).distinct()
-    return each.withColumn("value_hash", F.xxhash64("s.value")).join(ownership(found), "value_hash").select("cw_key", "s", "repositories", "owners", (F.col("owners") <= max_owners).alias("live"))
+    return each.withColumn("value_hash", F.xxhash64("s.value")).join(ownership(found), "value_hash").select("cw_key", "s", "repositories", "owners", (~copied(found, max_owners)).alias("live"))
 
 
-def scan(docs: DataFrame, keep: list[str], repository: str = "doc_id", owner: str = "source", id_col: str = "doc_id", text: str = "text", max_owners: int = 1) -> DataFrame:
+def scan(docs: DataFrame, keep: list[str], repository: str = "doc_id", owner: str = "source", id_col: str = "doc_id", text: str = "text", max_owners: int | None = None) -> DataFrame:
     """For each row `keep`, base, spans (base and live `owned` ones), n_live, n_copied."""
     found = materialise(candidates(docs, keep, repository, owner, id_col, text), "secrets")
     by_row = judged(found, max_owners).groupBy("cw_key").agg(F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_copied"), F.collect_list(F.when(F.col("live") & (F.col("s.kind") == "owned"), F.col("s"))).alias("more"))
@@ -83,9 +93,9 @@ def scan(docs: DataFrame, keep: list[str], repository: str = "doc_id", owner: st
     return out.select(*keep, "base", spans.alias("spans"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"))
 
 
-def redact(docs: DataFrame, repository: str = "doc_id", owner: str = "source", id_col: str = "doc_id", text: str = "text", max_owners: int = 1, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, repository: str = "doc_id", owner: str = "source", id_col: str = "doc_id", text: str = "text", max_owners: int | None = None, mark: str = "[SECRET]") -> DataFrame:
     """`docs` with the live-looking spans of each text replaced by `mark`; widely copied examples stay."""
-    found = materialise(candidates(docs, [], repository, owner, id_col, text).where((F.size("base") > 0) | (F.size("owned") > 0)), "secrets")
+    found = materialise(candidates(docs, [], repository, owner, id_col, text), "secrets")
     live = judged(found, max_owners).where("live").groupBy("cw_key").agg(F.array_sort(F.collect_list(F.struct("s.start", "s.end"))).alias("cw_live"))
     keyed = docs.withColumn("cw_key", row_key(docs, id_col, text)).join(live, "cw_key", "left")
     body = F.col(text)

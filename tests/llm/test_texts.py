@@ -189,6 +189,21 @@ def test_redaction(spark):
     assert secrets.redact(docs).columns == docs.columns and secrets.redact(docs).count() == len(SECRETS)
 
 
+def test_secrets_copied_by_both_counts(spark):
+    """A value in 2 documents of 2 sources and one in a third of the rows of one source are live, one of many of both is copied."""
+    values = {"rare": "hunter2hunter2", "hot": "sesame99sesame", "wide": "changeme1234"}
+    rows = [(k, "plain words", f"s{k % 8}") for k in range(300)]
+    for k in (7, 12):
+        rows[k] = (k, f"a password = {values['rare']} z", rows[k][2])
+    rows += [(1000 + k, f"b password = {values['hot']} z", "s0") for k in range(150)]
+    rows += [(2000 + k, f"c password = {values['wide']} z", f"s{k % 8}") for k in range(40)]
+    docs = table(spark, rows, clash=False)
+    got = {r.doc_id: (r.n_live, r.n_copied) for r in secrets.scan(docs, ["doc_id"]).collect()}
+    assert got[7] == got[12] == got[1000] == (1, 0) and got[2000] == (0, 1) and got[0] == (0, 0)
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert clean[7] == clean[12] == "a [SECRET] z" and clean[1149] == "b [SECRET] z" and clean[2001] == rows[-39][1]
+
+
 def test_tokens_match_the_library(spark, odd):
     from tokenizers import Tokenizer
 
