@@ -97,3 +97,19 @@ def test_renumbering(spark):
 def test_cell_keys(spark):
     r = spark.createDataFrame([(7, 3), (1, 0)], "d long, s long").select("d", "s", cells.pack(F.col("d"), F.col("s")).alias("k")).select("d", "s", cells.document_of(F.col("k")).alias("x"), cells.sentence_of(F.col("k")).alias("z")).collect()
     assert all((q.d, q.s) == (q.x, q.z) for q in r)
+
+
+def test_stitched_views_hold_all_annotations(spark):
+    """Every type and every date is in the whole-table views, and trigrams are registered; all equal their SQL."""
+    import duckdb
+
+    from cellweave.queries import ORACLES, QUERIES
+
+    path = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    for name in ("lineitem", "part", "supplier", "nation", "region", "orders", "customer", "documents"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}/{name}.parquet'")
+    for name in ("stitch_ner_all", "stitch_ner_all_bigram", "stitch_date_all", "stitch_date_all_bigram", "stitch_consistency_all", "stitch_date_trigram", "stitch_pos_trigram"):
+        assert sorted(map(tuple, QUERIES[name](spark, path).collect())) == sorted(db.execute(ORACLES[name]).fetchall()), name
+    assert {r.type for r in QUERIES["stitch_ner_all"](spark, path).select("type").distinct().collect()} == {"ORGANIZATION", "COUNTRY", "LOCATION", "PERSON"}
+    assert QUERIES["stitch_date_all"](spark, path).agg({"cells": "sum"}).first()[0] > QUERIES["stitch_date"](spark, path).agg({"cells": "sum"}).first()[0]
