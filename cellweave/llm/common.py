@@ -21,20 +21,41 @@ def fold(id_col: str, modulus: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where none is named (tests), a temporary one is set."""
+    """The folder that driver and executors share. Where none is named, a temporary one is set, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("cellweave.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="cellweave-")
         spark.conf.set("cellweave.shared.dir", found)
     return found
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` as Parquet in the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation."""
+    """Writes `df` as Parquet in the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation.
+    The table stays until `discard` or `discard_all`, as what reads it may run later."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/cellweave-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cellweave_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table of `materialise` that nothing reads any more."""
+    if getattr(table, "cellweave_path", None):
+        _delete(table.sparkSession, table.cellweave_path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Deletes all tables of this application, once its results are written."""
+    _delete(spark, f"{shared_dir(spark)}/cellweave-{spark.sparkContext.applicationId}")
 
 
 def slices(texts: list[str], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:

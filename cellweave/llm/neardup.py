@@ -1,19 +1,22 @@
 """N-gram Jaccard join: MinHash banding finds candidates, full n-gram sets decide.
 
-1. Texts of equal n-gram set form one class of copies; its least id represents it.
-2. `rows` and `bands` are chosen for a target recall at the threshold; representatives meet in the shuffle on band hashes,
-   where each is tied to the least one of its bucket. No pairs are made there.
-3. Ties give groups of candidates. A group is cut into parts of about `block` members by a hash; each pair of parts is
-   one unit of work, in which all pairs of members are compared by their full sets. It gives, for each member, the number
-   of its links and the least member that it is connected to. So rows grow with members times parts, never with pairs.
-4. Links join representatives into classes.
+1. Texts of equal n-gram set form one class of copies; a 96-bit key of the set is the node of all that follows.
+2. `rows` and `bands` are chosen for a target recall at the threshold; sets meet in the shuffle on band hashes, where each
+   is tied to the least one of its bucket. No pairs are made there: ties are sets times bands at most, and each task keeps a
+   spanning forest of its own. In ties and groups 64 bits of the key stand for a set: a collision there costs comparisons only.
+3. Ties give groups of candidates. A group is cut into parts of at most about `block` sets and `part_grams` n-grams by a hash. A part's
+   sets are gathered once, compared among each other, and packed (n-grams as places in the part's own list). Packed parts
+   of a group meet in pairs. So rows are sets, and for groups of several parts their pairs of parts, never pairs of sets; text is
+   sent once.
+4. Each comparison gives, for each set, its number of links and the least set that it is connected to; links join sets into classes.
 
 N-grams are runs of `width` words in lower case (a word: ASCII letters, digits, underscores and all non-ASCII
 characters), held as 64-bit codes; a shorter text has one n-gram, of all its words.
 
-Defined results: null, empty and wordless texts are alone in their class with no links and one copy. Rows of equal id
-are the same document: texts of theirs that differ are joined only as other texts are, and the class id is the least id.
-A null id takes part; where it is the only id of a class, the class id is null.
+Defined results: null, empty and wordless texts are alone, named by their own id, with no links and one copy. Repeated rows are
+copies. A class is named by the least id that no other class holds. Ids may be null or repeat with other texts: texts are joined only by
+what they say, never by their id. A class all of whose ids are null has the class id null; one whose ids all are
+in other classes too has a negative one made from its key. An empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,15 +26,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, mix, shingle_sets, slices
 from .graph import components
 
-
-#: Stands for a null id, so that it comes last.
-NULL_ID = (1 << 63) - 1
+KEY_BYTES = 12
+#: Most sets that a task remembers having sent; forgetting costs only bytes of exchange.
+REMEMBERED = 400_000
 
 
 def plan_bands(threshold: float, recall: float, rows: int = 6) -> int:
@@ -58,31 +62,38 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, id_col: str, text: str, width: int, bands: int, rows: int) -> DataFrame:
-    """doc, set_key, bands (null where the same task has met the set before, or where there are no words)."""
+    """doc, set_key (null without words); and code, size, bands, packed (the text) where the same task has not just met the set."""
 
     def run(batches):
         met: set[bytes] = set()
+        press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            keys, hashes = [], []
+            keys, hashes, sizes, bodies = [], [], [], []
             for a, z in slices(texts):
                 sets = shingle_sets(texts[a:z], width)
-                own = [hashlib.blake2b(s.tobytes(), digest_size=12).hexdigest() if len(s) else None for s in sets]
+                own = [hashlib.blake2b(s.tobytes(), digest_size=KEY_BYTES).digest() if len(s) else None for s in sets]
+                if len(met) > REMEMBERED:
+                    met.clear()
                 new = []
                 for k, key in enumerate(own):
                     if key is not None and key not in met:
                         met.add(key)
                         new.append(k)
                 got = dict(zip(new, band_hashes([sets[k] for k in new], bands, rows), strict=True)) if new else {}
-                keys += own
+                keys += [None if key is None else key.hex() for key in own]
                 hashes += [got[k].view(np.int64).tolist() if k in got else None for k in range(len(sets))]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.string()), pa.array(hashes, pa.list_(pa.int64()))], names=["doc", "set_key", "bands"])
+                sizes += [len(s) for s in sets]
+                bodies += [press.compress(texts[a + k].encode("utf-8", "surrogatepass")) if k in got else None for k in range(len(sets))]
+            codes = [None if h is None else int(key[:16], 16) - (1 << 63) for key, h in zip(keys, hashes, strict=True)]
+            columns = [ids, pa.array(keys, pa.string()), pa.array(codes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(bodies, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "set_key", "code", "size", "bands", "packed"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text)).mapInArrow(run, "doc long, set_key string, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text)).mapInArrow(run, "doc long, set_key string, code long, size long, bands array<long>, packed binary")
 
 
-def compare(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> list[tuple[int, int]]:
-    """Pairs (i, j) with Jaccard similarity of at least `threshold`: of left i < j, or of left i and right j."""
+def similar(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> np.ndarray:
+    """Which sets of `left` (rows) have Jaccard similarity of at least `threshold` with which of `right`, or with which others of `left`."""
     every = left + (right or [])
     n, sizes = len(every), np.array([len(s) for s in every], np.float64)
     flat = np.concatenate(every)
@@ -93,102 +104,165 @@ def compare(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: f
     common = np.zeros((len(left), n if right is None else len(right)), np.float32)
     if len(code):
         _, code = np.unique(code, return_inverse=True)
-        total, wide = int(code.max()) + 1, 4096
-        for a in range(0, total, wide):
-            part = (code >= a) & (code < a + wide)
+        order = np.argsort(code, kind="stable")
+        code, owner = code[order], owner[order]
+        total, wide = int(code[-1]) + 1, 4096
+        edge = np.searchsorted(code, np.arange(0, total + wide, wide))
+        for k, a in enumerate(range(0, total, wide)):
+            part = slice(edge[k], edge[k + 1])
             x = np.zeros((n, min(wide, total - a)), np.float32)
             x[owner[part], code[part] - a] = 1
             common += x[: len(left)] @ (x if right is None else x[len(left) :]).T
     other = sizes if right is None else sizes[len(left) :]
     near = common >= threshold * (sizes[: len(left), None] + other[None, :] - common) - 1e-6
     if right is None:
-        near &= np.triu(np.ones_like(near), 1)
-    return list(zip(*map(lambda v: v.tolist(), np.nonzero(near)), strict=True))
-
-
-def _links(ids: list[int], texts: list[str], sides: list[int], two: bool, width: int, threshold: float) -> dict[int, list[int]]:
-    """id: [links, least connected id] of those that have links."""
-    sets = [s for a, z in slices(texts) for s in shingle_sets(texts[a:z], width)]
-    order = [k for k, s in enumerate(sides) if s == 0] + [k for k, s in enumerate(sides) if s == 1]
-    n_left = sum(s == 0 for s in sides)
-    if not two:
-        pairs = compare([sets[k] for k in order], None, threshold) if len(order) > 1 else []
-    else:
-        pairs = [(i, n_left + j) for i, j in compare([sets[k] for k in order[:n_left]], [sets[k] for k in order[n_left:]], threshold)] if 0 < n_left < len(order) else []
-    root = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    count: dict[int, int] = {}
-    for i, j in pairs:
-        a, b = ids[order[i]], ids[order[j]]
-        if a == b:
-            continue
-        count[a] = count.get(a, 0) + 1
-        count[b] = count.get(b, 0) + 1
-        x, y = find(a), find(b)
-        root[max(x, y)] = min(x, y)
-    return {k: [n, find(k)] for k, n in count.items()}
-
-
-def _verify(members: DataFrame, width: int, threshold: float) -> DataFrame:
-    """members: rep, unit (group and pair of parts), two, side, text; sorted by unit in each partition."""
+        np.fill_diagonal(near, False)
+    return near
+
+
+def _links(keys: list[bytes], near: np.ndarray, two: bool) -> list[tuple[str, int, str]]:
+    """set_key, number of links and the least set_key that it is connected to, of those that have links. With `two` the rows are
+    the first keys and the columns the others."""
+    n = len(keys)
+    rank = np.empty(n, np.int64)
+    order = sorted(range(n), key=keys.__getitem__)
+    rank[order] = np.arange(n)
+    split = near.shape[0] if two else n
+    a, b = np.nonzero(near)
+    b = b + split if two else b
+    count = np.bincount(a, minlength=n) + (np.bincount(b, minlength=n) if two else 0)
+    label = rank.copy()
+    while len(a):
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = np.minimum(new, new[np.asarray(order)[new]])
+        if (new == label).all():
+            break
+        label = new
+    return [(keys[k].hex(), int(count[k]), keys[order[label[k]]].hex()) for k in np.flatnonzero(count).tolist()]
+
+
+def _pack(keys: list[bytes], sets: list[np.ndarray]) -> bytes:
+    """Sets as places in the list of all of their n-grams."""
+    grams, place = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(s) for s in sets], np.int32)
+    head = np.array([len(keys), len(grams)], np.int64)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *keys, sizes.tobytes(), grams.tobytes(), place.astype(np.uint32).tobytes()]))
+
+
+def _unpack(raw: bytes) -> tuple[list[bytes], list[np.ndarray]]:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    n, m = np.frombuffer(raw, np.int64, 2).tolist()
+    at = 16 + n * KEY_BYTES
+    keys = [raw[16 + k * KEY_BYTES : 16 + (k + 1) * KEY_BYTES] for k in range(n)]
+    sizes = np.frombuffer(raw, np.int32, n, at)
+    grams = np.frombuffer(raw[at + 4 * n : at + 4 * n + 8 * m], np.uint64)
+    place = np.frombuffer(raw, np.uint32, -1, at + 4 * n + 8 * m)
+    return keys, np.split(grams[place], np.cumsum(sizes)[:-1])
+
+
+FOUND = "`group` long, part int, payload binary, set_key string, links long, least string"
+
+
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["group", "part", "payload", "set_key", "links", "least"])
+
+
+def _gather(members: DataFrame, width: int, threshold: float) -> DataFrame:
+    """members: group, part, parts, set_key, packed, sorted by part. Links within each part; and each part packed where its group has others."""
 
     def run(batches):
-        unit, rows = None, []
-
-        def flush():
-            rows[:] = dict.fromkeys(rows)  # repeated rows of one id count once
-            found = _links([r[0] for r in rows], [r[2] for r in rows], [r[1] for r in rows], rows[0][3], width, threshold) if rows else {}
-            return [(k, n, least) for k, (n, least) in found.items()]
+        open_ = zstandard.ZstdDecompressor()
+        now, many, held, out = None, False, {}, []
 
-        def packed(out):
-            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(3)], names=["rep", "links", "least"])
+        def judged():
+            texts = [open_.decompress(p).decode("utf-8", "surrogatepass") for p in held.values()]
+            keys = [bytes.fromhex(k) for k in held]
+            sets = [s for a, z in slices(texts) for s in shingle_sets(texts[a:z], width)]
+            rows = [(None, None, None, *r) for r in _links(keys, similar(sets, None, threshold), False)] if len(sets) > 1 else []
+            return rows + [(*now, _pack(keys, sets), None, None, None)] * many
 
-        out = []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("unit", "rep", "side", "text", "two")]
-            for u, rep, side, text, two in zip(*cols, strict=True):
-                if u != unit:
-                    out += flush()
-                    unit, rows = u, []
-                rows.append((rep, side, text, two))
-            if len(out) > 5000:
-                yield packed(out)
-                out = []
-        yield packed(out + flush())
+            cols = [batch.column(c).to_pylist() for c in ("group", "part", "parts", "set_key", "packed")]
+            for group, part, parts, key, packed in zip(*cols, strict=True):
+                if (group, part) != now:
+                    out += judged() if held else []
+                    now, many, held = (group, part), parts > 1, {}
+                held[key] = packed
+                if len(out) > 5000 or sum(len(r[2] or b"") for r in out[-8:]) > 1 << 22:
+                    yield _found(out)
+                    out = []
+        yield _found(out + (judged() if held else []))
+
+    return members.mapInArrow(run, FOUND)
 
-    return members.mapInArrow(run, "rep long, links long, least long")
 
+def _across(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Links between the two packed parts of each row."""
 
-def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9999, rows: int = 6, block: int = 192) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                (x_keys, x), (y_keys, y) = _unpack(a), _unpack(b)
+                yield _found([(None, None, None, *r) for r in _links(x_keys + y_keys, similar(x, y, threshold), True)])
+
+    return pairs.select("payload", "other").mapInArrow(run, FOUND).select("set_key", "links", "least")
+
+
+def links(seen: DataFrame, width: int, threshold: float, block: int, part_grams: int) -> DataFrame:
+    """set_key, links, least: for each comparison that a set has links in, their number and the least set that it joins there."""
+    n = int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = seen.where(F.col("bands").isNotNull())
+    each = sent.select("code", F.explode("bands").alias("band"))
+    hubs = each.groupBy("band").agg(F.min("code").alias("hub"), F.max("code").alias("most")).where("most <> hub").select("band", "hub")
+    ties = each.join(hubs, "band").where("code <> hub").select(F.col("code").alias("a"), F.col("hub").alias("b"))
+    groups = components(ties).select(F.col("node").alias("code"), F.col("label").alias("group"))
+    sizes = sent.select("code", "size").join(groups, "code").groupBy("group", "code").agg(F.max("size").alias("size"))
+    sized = sizes.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("grams"))
+    parts = materialise(sized.select("group", F.ceil(F.greatest(F.col("n") / block, F.col("grams") / part_grams)).cast("int").alias("parts")), "parts")
+    places = groups.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("code"), F.col("parts")).cast("int"))
+    placed = sent.select("code", "set_key", "packed").hint("merge").join(places, "code")  # the same plan at every size
+    found = materialise(_gather(placed.repartition(n, "group", "part").sortWithinPartitions("group", "part"), width, threshold), "links")
+    packed = found.where(F.col("payload").isNotNull())
+    first = parts.where("parts > 1").select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 2)).alias("part"), "parts")
+    pairs = first.select("group", "part", F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("second"))
+    left = pairs.join(packed.select("group", "part", "payload"), ["group", "part"])
+    both = left.join(packed.select("group", F.col("part").alias("second"), F.col("payload").alias("other")), ["group", "second"])
+    more = materialise(_across(both.repartition(n, "group", "part", "second"), threshold), "links")
+    return found.where(F.col("links").isNotNull()).select("set_key", "links", "least").unionByName(more)
+
+
+def _named(seen: DataFrame, classes: DataFrame) -> DataFrame:
+    """set_key, class_id: see the module's words on names; a set is missing where it has none. classes: node, label."""
+    key = F.coalesce("set_key", F.lit(""))
+    per_id = seen.where(F.col("doc").isNotNull()).groupBy("doc").agg(F.min(key).alias("set_key"), F.max(key).alias("last"))
+    sets = per_id.where("set_key = last and set_key <> ''").groupBy("set_key").agg(F.min("doc").alias("doc"))
+    shared = materialise(per_id.where("set_key <> last").select("doc"), "ids")
+    if shared.limit(1).count():
+        held = seen.join(shared, "doc").select("doc", key.alias("set_key")).distinct()
+        placed = held.join(classes, held["set_key"] == classes["node"], "left").select("doc", "set_key", F.coalesce("label", "set_key").alias("label"))
+        alone = placed.groupBy("doc").agg(F.min("label").alias("label"), F.max("label").alias("last"), F.max("set_key").alias("set_key")).where("label = last")
+        unnamed = held.where("set_key <> ''").select(F.lit(None).cast("long").alias("doc"), "set_key")
+        sets = sets.unionByName(alone.select("doc", "set_key")).unionByName(unnamed).groupBy("set_key").agg(F.min("doc").alias("doc"))
+    of_class = sets.join(classes, sets["set_key"] == classes["node"]).groupBy("label").agg(F.min("doc").alias("doc"))
+
+    def name(key: str) -> Column:
+        return F.coalesce("doc", -F.conv(F.substring(key, 1, 15), 16, 10).cast("long") - 1).alias("class_id")
+
+    linked = classes.join(of_class, "label").select(F.col("node").alias("set_key"), name("label"))
+    return linked.unionByName(sets.join(classes, sets["set_key"] == classes["node"], "left_anti").select("set_key", name("set_key")))
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9999, rows: int = 6, block: int = 512, part_grams: int = 1 << 20) -> DataFrame:
     """For each row: `id_col`, class_id, n_links (other texts with at least `threshold` in common), n_copies (rows of the same set)."""
-    bands = plan_bands(threshold, recall, rows)
-    seen = materialise(_sets(docs, id_col, text, width, bands, rows), "sets")
-    worded = seen.where(F.col("set_key").isNotNull())
-    reps = worded.groupBy("set_key").agg(F.coalesce(F.min("doc"), F.lit(NULL_ID)).alias("rep"), F.count("*").alias("n_copies"))
-    reps = materialise(reps, "reps")
-    banded = worded.where(F.col("bands").isNotNull()).select("set_key", "bands").join(reps.select("set_key", "rep"), "set_key")
-    each = materialise(banded.select("rep", F.explode("bands").alias("band")).distinct(), "bands")
-    hubs = each.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("most")).where("most <> hub").select("band", "hub")
-    ties = each.join(hubs, "band").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    groups = components(ties).select(F.col("node").alias("rep"), F.col("label").alias("group"))
-    parts = groups.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    placed = groups.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("rep"), F.col(text).alias("text"))
-    grouped = plain.hint("merge").join(placed, "rep")  # the same plan at every size
-    units = grouped.select("rep", "group", "part", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    low, high = F.least("part", "other"), F.greatest("part", "other")
-    unit = F.concat_ws(":", "group", low.cast("string"), high.cast("string"))
-    work = units.select("rep", F.when(F.col("part") == high, F.when(low == high, 0).otherwise(1)).otherwise(0).alias("side"), unit.alias("unit"), (low != high).alias("two"), "text")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = materialise(_verify(work.repartition(n, "unit").sortWithinPartitions("unit"), width, threshold), "links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("n_links"))
-    classes = components(found.select(F.col("rep").alias("a"), F.col("least").alias("b")))
-    of_rep = reps.join(links, "rep", "left").join(classes, reps["rep"] == classes["node"], "left").select("set_key", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("label", "rep").alias("class"))
-    out = seen.select("doc", "set_key").join(of_rep, "set_key", "left")
-    known = F.when(F.col("set_key").isNull(), F.col("doc")).otherwise(F.nullif("class", F.lit(NULL_ID)))
+    seen = materialise(_sets(docs, id_col, text, width, plan_bands(threshold, recall, rows), rows), "sets")
+    found = materialise(links(seen, width, threshold, block, part_grams), "links")
+    counts = found.groupBy("set_key").agg(F.sum("links").alias("n_links"))
+    classes = components(found.select(F.col("set_key").alias("a"), F.col("least").alias("b")))
+    copies = seen.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.count("*").alias("n_copies"))
+    of_set = copies.join(counts, "set_key", "left").join(_named(seen, classes), "set_key", "left")
+    out = seen.select("doc", "set_key").join(of_set, "set_key", "left")
+    known = F.when(F.col("set_key").isNull(), F.col("doc")).otherwise(F.col("class_id"))
     return out.select(F.col("doc").cast(docs.schema[id_col].dataType).alias(id_col), known.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))

@@ -104,12 +104,15 @@ r AS (SELECT doc_id, count(*) FILTER (kind_no = 0) AS n_assign, count(*) FILTER
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM documents LEFT JOIN r USING (doc_id)"""
 _JACCARD = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z_\\x{80}-\\x{10ffff}]+') AS w FROM documents),
 sh AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM w),
-rep AS (SELECT s, min(doc_id) AS rep, count(*) AS n_copies FROM sh WHERE len(s) > 0 GROUP BY s),
+rep AS MATERIALIZED (SELECT s, row_number() OVER () AS rep, count(*) AS n_copies FROM sh WHERE len(s) > 0 GROUP BY s),
 g AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM rep),
 c AS (SELECT a.rep AS a, b.rep AS b, count(*) AS n, any_value(a.n) AS na, any_value(b.n) AS nb FROM g a JOIN g b ON a.x = b.x AND a.rep <> b.rep GROUP BY 1, 2),
 l AS (SELECT a, b FROM c WHERE n >= 0.8 * (na + nb - n)),
 t(node, label) AS (SELECT a, a FROM l UNION SELECT l.b, t.label FROM t JOIN l ON t.node = l.a),
 cls AS (SELECT node, least(node, min(label)) AS class FROM t GROUP BY node),
-k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
-SELECT doc_id, coalesce(class, rep, doc_id) AS class_id, coalesce(n_links, 0) AS n_links, coalesce(n_copies, 1) AS n_copies FROM sh LEFT JOIN rep ON sh.s = rep.s LEFT JOIN cls ON cls.node = rep.rep LEFT JOIN k ON k.a = rep.rep"""
+k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a),
+own AS (SELECT doc_id, coalesce(class, rep) AS cls, coalesce(n_links, 0) AS n_links, coalesce(n_copies, 1) AS n_copies FROM sh LEFT JOIN rep ON sh.s = rep.s LEFT JOIN cls ON cls.node = rep.rep LEFT JOIN k ON k.a = rep.rep),
+one AS (SELECT doc_id FROM own WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING count(DISTINCT coalesce(cls, 0)) = 1),
+nm AS (SELECT cls, min(doc_id) AS class_id FROM own SEMI JOIN one USING (doc_id) GROUP BY cls)
+SELECT doc_id, CASE WHEN own.cls IS NULL THEN doc_id ELSE class_id END AS class_id, n_links, n_copies FROM own LEFT JOIN nm ON own.cls = nm.cls"""
 ORACLES: dict[str, str] = {"op7_secrets": _SECRETS, "op8_jaccard": _JACCARD}

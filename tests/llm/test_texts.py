@@ -121,6 +121,63 @@ def test_jaccard_large_group_of_copies(spark):
     assert neardup.join(table(spark, [])).count() == 0
 
 
+def test_jaccard_null_and_repeated_ids(spark):
+    """Ids that are null or stand for several texts join nothing: near A and near B stay apart, and are named by ids of their own."""
+    rng = random.Random(31)
+
+    def near(text, k):
+        w = text.split()
+        w[k] = f"new{k}"
+        return " ".join(w)
+
+    a, b, c = prose(rng, 150), prose(rng, 150), prose(rng, 150)
+    for odd_id in (None, 0):
+        rows = [(1, near(a, 10)), (2, near(a, 30)), (3, near(b, 50)), (4, near(b, 70)), (odd_id, near(a, 90)), (odd_id, near(b, 110))]
+        got = sorted((r.class_id, r.doc_id or 0, r.n_links) for r in neardup.join(table(spark, rows)).collect())
+        assert got == [(1, 0, 2), (1, 1, 2), (1, 2, 2), (3, 0, 2), (3, 3, 2), (3, 4, 2)]
+    rows = [(None, c), (7, a), (7, b), (7, near(b, 9)), (8, ""), (8, c + " end of c"), (9, "!"), (9, None)]
+    got = [(r.doc_id, r.class_id, r.n_links) for r in neardup.join(table(spark, rows)).collect()]
+    assert (8, 8, 0) in got and got.count((9, 9, 0)) == 2
+    of_7 = sorted(k for d, k, _ in got if d == 7)
+    assert len(set(of_7)) == 2 and max(of_7) < 0  # no id tells the classes of a and b apart
+    (null_class,), (of_c,) = [k for d, k, n in got if d is None], [k for d, k, n in got if d == 8 and n]
+    assert null_class == of_c < 0 and of_c not in of_7
+
+
+@pytest.mark.parametrize(("block", "part_grams"), [(8, 1 << 20), (512, 300), (512, 1 << 20)])
+def test_jaccard_parts_do_not_matter(spark, block, part_grams):
+    """Chains of copies of copies: classes and links are those of all pairs, however the groups are cut, but for what banding misses."""
+    rng = random.Random(33)
+    texts = [prose(rng, 60)]
+    for k in range(150):
+        w = texts[rng.randrange(len(texts))].split() if k % 40 else prose(rng, 60).split()
+        w[rng.randrange(60)] = f"z{k}"
+        texts.append(" ".join(w))
+    sets = [shingles(t) for t in texts]
+    near = [[j for j, o in enumerate(sets) if j != i and len(s & o) >= 0.8 * len(s | o)] for i, s in enumerate(sets)]
+    label = list(range(len(sets)))
+    while (new := [min([label[i], *(label[j] for j in near[i])]) for i in range(len(sets))]) != label:
+        label = new
+    got = {r.doc_id: (r.class_id, r.n_links) for r in neardup.join(table(spark, list(enumerate(texts))), block=block, part_grams=part_grams).collect()}
+    found, all_links = sum(n for _, n in got.values()), sum(map(len, near))
+    print(f"recall of links: {found / all_links:.5f}")
+    assert got == {k: (label[k], len(near[k])) for k in range(len(sets))}
+
+
+def test_forest_and_components(spark):
+    from cellweave.llm import graph
+
+    rng = random.Random(34)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(500, 500 + k) for k in range(1, 300)] + [(900 + k, 901 + k) for k in range(60)]
+    label = {x: x for e in edges for x in e}
+    while new := {x: m for x, y in [*edges, *((b, a) for a, b in edges)] if (m := label[y]) < label[x]}:
+        label |= new
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.label for r in graph.components(df).collect()}
+    assert got == {x: label[x] for e in edges if e[0] != e[1] for x in e}
+    assert graph.forest(df.coalesce(1)).count() == len(label) - len(set(label.values()))
+
+
 def test_bands_reach_recall():
     for rows in (4, 6, 8):
         b = neardup.plan_bands(0.8, 0.9999, rows)
