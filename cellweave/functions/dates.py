@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,11 +37,13 @@ def shared_period(a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[C
 
 
 def period_text(start: date, end: date) -> str:
-    """A year, a month or a day where the period is one; [start, end] otherwise."""
+    """A year, a month, a day or a run of years where the period is one; [start, end] otherwise."""
     if (start.month, start.day, end.month, end.day) == (1, 1, 12, 31):
         return str(start.year) if start.year == end.year else f"[{start.year}, {end.year}]"
     if start == end:
         return start.isoformat()
+    if start.day == 1 and (start.year, start.month) == (end.year, end.month) and (end + timedelta(1)).day == 1:
+        return f"{start.year:04d}-{start.month:02d}"
     return f"[{start.isoformat()}, {end.isoformat()}]"
 
 

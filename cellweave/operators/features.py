@@ -134,6 +134,34 @@ def stitch_faults(stitched: DataFrame, grams: DataFrame, notes: DataFrame, kind:
     return a.join(b, CELL).join(s, CELL, "left").where(F.coalesce("n_rows", F.lit(0)) != F.col("n_grams") * F.col("n_notes"))
 
 
+def index_faults(corpus, grams: tuple[int, ...], stitched: tuple[tuple[str, int], ...]) -> DataFrame:
+    """check, faults: what each check of a corpus' tables finds. Terms are not blank and have at most n words, offsets run forward, cells of
+    longer n-grams have words, documents are known, and stitched tables are the product of their cells' n-grams and annotations."""
+    known, out = corpus.documents.select("document_id"), []
+
+    def tell(name: str, faults: DataFrame) -> None:
+        out.append(faults.agg(F.count("*").alias("faults")).select(F.lit(name).alias("check"), "faults"))
+
+    for n in grams:
+        rows = corpus.grams(n)
+        tell(f"gram {n}: blank term", rows.where(F.col("term").isNull() | (F.trim("term") == "")))
+        tell(f"gram {n}: too many words", rows.where(F.size(F.split("term", " ")) > n))
+        tell(f"gram {n}: offsets out of order", rows.where("begin > end"))
+        tell(f"gram {n}: cell without word", rows.join(corpus.cells, CELL, "left_anti"))
+        tell(f"gram {n}: unknown document", rows.join(known, "document_id", "left_anti"))
+    for name in ("entities", "dates", "tags", "dependencies"):
+        if corpus.has(name):
+            tell(f"{name}: unknown document", corpus.table(name).join(known, "document_id", "left_anti"))
+    tables = {"ner": ("entities", {}, None), "date": ("dates", {"date": "value"}, "DATE"), "pos": ("tags", {"tag": "type", "term": "value"}, None)}
+    for kind, n in stitched:
+        table, names, fixed = tables[kind]
+        tell(f"stitched {kind} {n}: not the product", stitch_faults(corpus.stitched(kind, n), corpus.grams(n), corpus.table(table).withColumnsRenamed(names), fixed))
+    made = out[0]
+    for one in out[1:]:
+        made = made.unionByName(one)
+    return made
+
+
 def renumbered(documents: DataFrame, annotated: DataFrame) -> DataFrame:
     """old_id, new_id of documents without annotations, numbered above the largest annotated id in order of their ids.
 

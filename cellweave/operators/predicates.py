@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cellweave.functions import dates
 from cellweave.plans.model import And, Contains, DateIs, Depends, ExecutionError, Ner, Not, Or, Pos, Ref, conditions, consumed, produced
 
-from .features import CELL
+from .features import CELL, restrict
 
 
 def column_of(name: str, alias: str | None) -> str:
@@ -18,11 +18,12 @@ def column_of(name: str, alias: str | None) -> str:
 
 
 class Evaluator:
-    """`scope`: None keeps cells as they are; "document" takes documents for cells; a number of sentences lets AND meet
-    within that distance."""
+    """`document_scope` takes documents for cells; `window`, a number of sentences, lets AND meet within that distance; `multi` keeps all values that
+    a variable has in a cell; `stitch` reads a word beside an annotation from the corpus' stitched tables; `allowed`: cells (document_id, sentence_id) outside which nothing counts."""
 
-    def __init__(self, corpus, alias: str | None = None, document_scope: bool = False, window: int = 0):
+    def __init__(self, corpus, alias: str | None = None, document_scope: bool = False, window: int = 0, multi: bool = False, stitch: bool = False, allowed: DataFrame | None = None):
         self.corpus, self.alias, self.document_scope, self.window = corpus, alias, document_scope, window
+        self.multi, self.stitch, self.allowed = multi, stitch, allowed
 
     def _table(self, name: str) -> DataFrame:
         if not self.corpus.has(name):
@@ -35,9 +36,14 @@ class Evaluator:
     def _cells(self, rows: DataFrame, var: str | None, value: Column) -> DataFrame:
         if self.document_scope:
             rows = rows.withColumn("sentence_id", F.lit(0).cast("long"))
+        if self.allowed is not None:
+            rows = restrict(rows, self.allowed)
         if var is None:
             return rows.select(*CELL).distinct()
-        return rows.groupBy(*CELL).agg(F.min(F.struct(value.alias("value"), F.col("begin"), F.col("end"))).alias(self._name(var)))
+        bound = F.struct(value.alias("value"), F.col("begin"), F.col("end"))
+        if self.multi:
+            return rows.select(*CELL, bound.alias(self._name(var))).distinct()
+        return rows.groupBy(*CELL).agg(F.min(bound).alias(self._name(var)))
 
     def rows(self, c) -> tuple[DataFrame, Column]:
         """Occurrences that fit a single condition, and what it binds; operands that are variables are left open."""
@@ -103,6 +109,8 @@ class Evaluator:
         if not c.var or self._name(c.var) in left.columns:
             return bound.join(occurrence, on, "left_semi")
         joined = bound.join(occurrence, on).select("l.*", F.struct(F.col("o.cw_value").alias("value"), F.col("o.begin").alias("begin"), F.col("o.end").alias("end")).alias("cw_new"))
+        if self.multi:
+            return joined.withColumnRenamed("cw_new", self._name(c.var)).distinct()
         kept = [x for x in left.columns if x not in CELL]
         return joined.groupBy(*CELL).agg(*[F.min(f"`{x}`").alias(x) for x in kept], F.min("cw_new").alias(self._name(c.var)))
 
@@ -115,7 +123,9 @@ class Evaluator:
                 out = self._either(out, self.evaluate(item))
             return out
         if isinstance(c, Not):
-            universe = self.corpus.cells
+            universe = self.corpus.cells if self.allowed is None else restrict(self.corpus.cells, self.allowed)
+            if universe.isEmpty():
+                raise ExecutionError("INVALID_CONDITION", "NOT needs a corpus with at least one cell")
             if self.document_scope:
                 universe = universe.select("document_id", F.lit(0).cast("long").alias("sentence_id")).distinct()
             return universe.join(self.evaluate(c.item).select(*CELL), CELL, "left_anti")
@@ -135,6 +145,10 @@ class Evaluator:
             return 0 if isinstance(x, Contains) else 2 if isinstance(x, Not) else 1
 
         waiting, out, known = sorted(flat, key=place), None, set()
+        if self.stitch and (pair := self._stitched_pair(waiting)):
+            out = self._stitched(*pair)
+            known = {x.var for x in pair if x.var}
+            waiting = [x for x in waiting if x is not pair[0] and x is not pair[1]]
         while waiting:
             at = next((k for k, x in enumerate(waiting) if {r.name for y in conditions(x) for r in consumed(y)} <= known or out is None and place(x) < 3), None)
             if at is None:
@@ -150,6 +164,45 @@ class Evaluator:
             known |= set(produced(x))
         return out
 
+    def _stitched_pair(self, flat: list):
+        """A word without wildcard and an annotation beside it that a stitched table of the corpus holds, or None."""
+        kinds = {Ner: "ner", DateIs: "date", Pos: "pos"}
+        if self.multi or self.window or self.document_scope or self.allowed is not None:
+            return None
+        for word in flat:
+            if not isinstance(word, Contains) or len(" ".join(word.terms)) > 1 and word.terms[-1].endswith("*"):
+                continue
+            for note in flat:
+                kind = kinds.get(type(note))
+                if kind == "ner" and note.type == "DATE":
+                    kind = "date"
+                if kind and not consumed(note) and (note.var is None or note.var != word.var) and self.corpus.stitched(kind, len(word.terms)) is not None:
+                    return word, note
+        return None
+
+    def _stitched(self, word, note) -> DataFrame:
+        """One filter of a stitched table in place of a join of postings."""
+        kind = "date" if isinstance(note, DateIs) or isinstance(note, Ner) and note.type == "DATE" else "ner" if isinstance(note, Ner) else "pos"
+        rows = self.corpus.stitched(kind, len(word.terms)).where(F.col("ngram") == " ".join(word.terms).lower())
+        value = F.col("value").cast("date") if kind == "date" else F.col("value")
+        if isinstance(note, DateIs):
+            rows = rows.where(dates.matches(note.op, note.start, note.end, value))
+        elif kind == "ner":
+            rows = rows.where(F.col("type") == note.type)
+            if note.targets:
+                rows = rows.where(F.col("value").isin(*[t.lower() for t in note.targets]))
+        elif kind == "pos":
+            rows = rows.where(F.col("type") == note.tag.upper())
+            if isinstance(note.term, str):
+                rows = rows.where(F.col("value") == note.term.lower())
+        none = F.lit(None).cast("int")
+        made = []
+        if word.var:
+            made.append(F.min(F.struct(F.col("ngram").alias("value"), F.col("begins")[0].alias("begin"), none.alias("end"))).alias(self._name(word.var)))
+        if note.var:
+            made.append(F.min(F.struct(value.alias("value"), none.alias("begin"), none.alias("end"))).alias(self._name(note.var)))
+        return rows.groupBy(*CELL).agg(*made) if made else rows.select(*CELL).distinct()
+
     def _indexed(self, flat: list) -> bool:
         """Whether another condition already keeps to cells with indexed words, so that NOT needs no universe."""
         return any(isinstance(x, Contains) and len(x.terms) == 1 for x in flat) and not self.window
@@ -157,7 +210,7 @@ class Evaluator:
     def _both(self, a: DataFrame, b: DataFrame) -> DataFrame:
         if self.window and not self.document_scope:
             near = b.select("document_id", F.explode(F.sequence(F.col("sentence_id") - self.window, F.col("sentence_id") + self.window)).alias("sentence_id"), *[f"`{x}`" for x in b.columns if x not in CELL])
-            b = near.groupBy(*CELL).agg(*[F.min(f"`{x}`").alias(x) for x in b.columns if x not in CELL]) if len(b.columns) > 2 else near.distinct()
+            b = near.groupBy(*CELL).agg(*[F.min(f"`{x}`").alias(x) for x in b.columns if x not in CELL]) if len(b.columns) > 2 and not self.multi else near.distinct()
         again = [x for x in b.columns if x in a.columns and x not in CELL]
         if len(b.columns) == 2:
             return a.join(b, CELL, "left_semi")
@@ -168,6 +221,8 @@ class Evaluator:
     def _either(self, a: DataFrame, b: DataFrame) -> DataFrame:
         if len(a.columns) == len(b.columns) == 2:
             return a.union(b).distinct()
+        if self.multi:
+            return a.unionByName(b, allowMissingColumns=True).distinct()
         both = [x for x in a.columns if x in b.columns and x not in CELL]
         cast = "struct<value:string,begin:int,end:int>"
         for x in both:

@@ -18,11 +18,15 @@ def _date(c: Column) -> Column:
 
 
 class Engine:
-    """`corpora`: by name. `pushdown`: bound the right side of joins by what the left side has; results are the same."""
+    """`corpora`: by name. `pushdown`: bound the right side of joins by what the left side has; results are the same. `multi`: rows for all
+    values that a variable has in a cell, not the least one only. `stitch`: answer a word beside an annotation from the corpus' stitched tables, where
+    it has them; results are the same. `ordered`: rows come in the order of their cells; without it
+    only where ORDER BY or LIMIT asks, which saves a sort of results that are written or read on."""
 
-    def __init__(self, spark, corpora: dict[str, object], pushdown: bool = True, document_scope: bool = False, sentence_window: bool = False):
+    def __init__(self, spark, corpora: dict[str, object], pushdown: bool = True, document_scope: bool = False, sentence_window: bool = False, multi: bool = False, stitch: bool = False, ordered: bool = True):
         self.spark, self.corpora, self.pushdown = spark, corpora, pushdown
         self.document_scope, self.sentence_window = document_scope, sentence_window
+        self.multi, self.stitch, self.ordered = multi, stitch, ordered
 
     def sql(self, text: str) -> DataFrame:
         return self.run(validate(parse(text)))
@@ -34,7 +38,9 @@ class Engine:
 
     def _evaluator(self, q: Query, alias: str | None) -> Evaluator:
         near = q.window if self.sentence_window and q.granularity == "SENTENCE" else 0
-        return Evaluator(self.corpus(q.source), alias, self.document_scope and q.granularity == "DOCUMENT", near)
+        # stitched tables have no ends of matches
+        offsets = any(isinstance(x, Snippet) or isinstance(x, Ref) and x.name in ("BEGIN", "END") for x in q.select)
+        return Evaluator(self.corpus(q.source), alias, self.document_scope and q.granularity == "DOCUMENT", near, self.multi, self.stitch and not offsets)
 
     def matches(self, q: Query, alias: str | None = None) -> DataFrame:
         """Cells and bound variables of the WHERE clause, with cell columns named by alias; nothing without WHERE."""
@@ -48,8 +54,13 @@ class Engine:
         need = [f for n, f in fields.items() if n in names] + ["text"] * snippets
         if not need:
             return rows
-        found = self.corpus(q.source).documents.select(F.col("document_id").alias("cw_doc"), *[F.col(f).alias(column_of(f, alias)) for f in need])
-        return rows.join(found, F.col(f"`{column_of('document_id', alias)}`") == F.col("cw_doc"), "left").drop("cw_doc")
+        corpus, doc, sentence = self.corpus(q.source), *(F.col(f"`{column_of(c, alias)}`") for c in CELL)
+        found = corpus.documents.select(F.col("document_id").alias("cw_doc"), *[F.col(f).alias(column_of(f, alias)) for f in need])
+        rows = rows.join(found, doc == F.col("cw_doc"), "left").drop("cw_doc")
+        if snippets and corpus.sentences is not None:
+            at = corpus.sentences.select(F.col("document_id").alias("cw_doc"), F.col("sentence_id").alias("cw_sentence"), F.col("offset").alias(column_of("offset", alias)))
+            rows = rows.join(at, (doc == F.col("cw_doc")) & (sentence == F.col("cw_sentence")), "left").drop("cw_doc", "cw_sentence")
+        return rows
 
     def _value(self, rows: DataFrame, r: Ref, raw: bool = False) -> Column:
         def col(name: str) -> Column:
@@ -69,14 +80,33 @@ class Engine:
         value = F.col(f"`{column_of(r.name, r.alias)}`.value")
         return value if raw else value.cast("string")
 
-    def _snippet(self, s: Snippet) -> Column:
+    def _snippet(self, rows: DataFrame, s: Snippet) -> Column:
+        """The text around a match. Offsets count from the sentence's first word where the corpus tells where sentences begin, else from the text's start."""
         bound, text = column_of(s.target.name, s.target.alias), F.col(f"`{column_of('text', s.target.alias)}`")
-        begin, end = F.col(f"`{bound}`.begin"), F.col(f"`{bound}`.end")
+        start = column_of("offset", s.target.alias)
+        offset = F.coalesce(F.col(f"`{start}`"), F.lit(0)) if start in rows.columns else F.lit(0)
+        begin, end = F.col(f"`{bound}`.begin") + offset, F.col(f"`{bound}`.end") + offset
         a, z = F.greatest(begin - s.window, F.lit(0)), F.least(end + s.window, F.length(text))
         body = F.trim(F.regexp_replace(F.substring(text, a + 1, z - a), r"\R", " "))
         return F.concat(F.when(a > 0, "...").otherwise(""), body, F.when(z < F.length(text), "...").otherwise(""))
 
     def run(self, q: Query) -> DataFrame:
+        order = [self._order(str(o.key), o.descending) for o in q.order_by]
+        counting = bool(q.group_by) or any(isinstance(s, Count) for s in q.select)
+        if counting and q.joins:
+            out = self._counted(q)
+        else:
+            out, cells = self._rows(q, counting)
+            # rows come in the order of their cells where a limit cuts them, or after the asked order
+            order += cells if order or self.ordered or q.limit is not None else []
+        if order:
+            out = out.orderBy(*order)
+        if q.limit is not None:
+            out = out.limit(q.limit)
+        return out.drop("cw:document_id", "cw:sentence_id")
+
+    def _rows(self, q: Query, counting: bool) -> tuple[DataFrame, list[Column]]:
+        """What SELECT asks for, and the order of cells that rows without grouping have."""
         rows = self.matches(q, q.alias)
         sides = {q.alias: q}
         for j in q.joins:
@@ -91,23 +121,15 @@ class Engine:
         def own(r: Ref) -> Ref:
             return Ref(r.name, q.alias) if r.alias is None else r
 
-        plain = {str(s): self._snippet(s) if isinstance(s, Snippet) else self._value(rows, own(s)) for s in q.select if not isinstance(s, Count)}
-        counts = {str(s): self._count(rows, s, own, q.alias) for s in q.select if isinstance(s, Count)}
-        order = [self._order(str(o.key), o.descending) for o in q.order_by]
-        if q.group_by or counts:
-            keys = [str(g) for g in q.group_by]
-            out = rows.withColumns({f"cw:{k}": plain[k] for k in keys}).groupBy(*[F.col(f"`cw:{k}`").alias(k) for k in keys]).agg(*[c.alias(n) for n, c in (counts or {"count": F.count(F.lit(1))}).items()])
-            wanted = [str(s) for s in q.select] if counts else [*keys, "count"]
-            out = out.select(*[f"`{n}`" for n in wanted])
-        else:
+        plain = {str(s): self._snippet(rows, s) if isinstance(s, Snippet) else self._value(rows, own(s)) for s in q.select if not isinstance(s, Count)}
+        if not counting:
             cells = [F.col(f"`{column_of(c, q.alias)}`").alias(f"cw:{c}") for c in CELL]
             out = rows.select(*[c.alias(n) for n, c in plain.items()], *cells)
-            order = order + [F.col("`cw:document_id`").asc_nulls_last(), F.col("`cw:sentence_id`").asc_nulls_last()]
-        if order:
-            out = out.orderBy(*order)
-        if q.limit is not None:
-            out = out.limit(q.limit)
-        return out.drop("cw:document_id", "cw:sentence_id")
+            return out, [F.col("`cw:document_id`").asc_nulls_last(), F.col("`cw:sentence_id`").asc_nulls_last()]
+        counts = {str(s): self._count(rows, s, own, q.alias) for s in q.select if isinstance(s, Count)}
+        keys = [str(g) for g in q.group_by]
+        out = rows.withColumns({f"cw:{k}": plain[k] for k in keys}).groupBy(*[F.col(f"`cw:{k}`").alias(k) for k in keys]).agg(*[c.alias(n) for n, c in (counts or {"count": F.count(F.lit(1))}).items()])
+        return out.select(*[f"`{n}`" for n in ([str(s) for s in q.select] if counts else [*keys, "count"])]), []
 
     def _count(self, rows: DataFrame, c: Count, own, alias: str | None) -> Column:
         if c.target == "*":
@@ -153,20 +175,68 @@ class Engine:
                     right = self._structural(right, j.query, j.alias, {r.name}, False)
         own = next(iter(sides))
         j_left = Ref(j.left.name, own) if j.left.alias is None else j.left
-        x, y = self._value(left, j_left, raw=True), self._value(right, j.right, raw=True)
-        x_type, y_type = left.select(x.alias("x")).dtypes[0][1], right.select(y.alias("y")).dtypes[0][1]
+        left, right = left.withColumn("cw:x", self._value(left, j_left, raw=True)), right.withColumn("cw:y", self._value(right, j.right, raw=True))
+        return self._matched(left, right, j).drop("cw:x", "cw:y")
+
+    def _matched(self, left: DataFrame, right: DataFrame, j: Join) -> DataFrame:
+        """Rows of `left` and `right` whose `cw:x` and `cw:y` fit."""
+        x, y = F.col("`cw:x`"), F.col("`cw:y`")
+        x_type, y_type = dict(left.dtypes)["cw:x"], dict(right.dtypes)["cw:y"]
         if j.op in ("BEFORE", "AFTER") and not x_type == y_type == "date":
             x, y = (c if t == "date" else F.try_to_date(c.cast("string"), "yyyy-MM-dd") for c, t in ((x, x_type), (y, y_type)))
         elif x_type != y_type:
             x, y = x.cast("string"), y.cast("string")
         left, right = left.withColumn("cw:x", x), right.withColumn("cw:y", y)
+        x, y = F.col("`cw:x`"), F.col("`cw:y`")
         how = {"INNER": "inner", "LEFT": "left", "RIGHT": "right"}[j.kind]
-        on = {"BEFORE": F.col("`cw:x`") < F.col("`cw:y`"), "AFTER": F.col("`cw:x`") > F.col("`cw:y`")}.get(j.op, F.col("`cw:x`") == F.col("`cw:y`"))
-        if self.pushdown and j.op in ("BEFORE", "AFTER") and how in ("inner", "left"):
-            right = right.join(F.broadcast(left.agg((F.min if j.op == "BEFORE" else F.max)("`cw:x`").alias("cw:bound"))), F.col("`cw:y`") > F.col("`cw:bound`") if j.op == "BEFORE" else F.col("`cw:y`") < F.col("`cw:bound`")).drop("cw:bound")
-        elif self.pushdown and on is not None and j.op not in ("BEFORE", "AFTER") and how in ("inner", "left"):
-            right = right.join(left.select(F.col("`cw:x`").alias("cw:k")).distinct(), F.col("`cw:y`") == F.col("`cw:k`"), "left_semi")
-        return left.join(right, on, how).drop("cw:x", "cw:y")
+        on = {"BEFORE": x < y, "AFTER": x > y}.get(j.op, x == y)
+        if self.pushdown and how in ("inner", "left"):
+            if j.op in ("BEFORE", "AFTER"):
+                bound = left.agg((F.min if j.op == "BEFORE" else F.max)("`cw:x`").alias("cw:bound"))
+                right = right.join(F.broadcast(bound), y > F.col("`cw:bound`") if j.op == "BEFORE" else y < F.col("`cw:bound`")).drop("cw:bound")
+            else:
+                right = right.join(left.select(x.alias("cw:k")).distinct(), y == F.col("`cw:k`"), "left_semi")
+        return left.join(right, on, how)
+
+    def _counted(self, q: Query) -> DataFrame:
+        """What grouping and counts read, and `cw:n`: how many joined rows have those values. Each side is reduced to its distinct
+        values and their number before a join, and so is each join's result, so the joined rows themselves are never made."""
+
+        def own(r: Ref) -> Ref:
+            return Ref(r.name, q.alias) if r.alias is None else r
+
+        targets = [c.target for c in q.select if isinstance(c, Count)]
+        asked = [own(r) for r in q.group_by] + [own(t) for t in targets if isinstance(t, Ref)] + [Ref("DOCUMENT_ID", q.alias)] * ("DOCUMENTS" in targets)
+        ends = [(own(j.left), j.right) for j in q.joins]
+        made: list[str] = []
+
+        def side(rows: DataFrame, of: Query, alias: str | None) -> DataFrame:
+            mine = {r for r in [*asked, *(r for e in ends for r in e)] if r.alias == alias}
+            rows = self._structural(rows, of, alias, {r.name for r in mine}, False)
+            cols = {f"cw:v:{r}": self._value(rows, r) for r in asked if r.alias == alias} | {f"cw:j:{r}": self._value(rows, r, raw=True) for e in ends for r in e if r.alias == alias}
+            made.extend(c for c in cols if c not in made)
+            return rows.select(*[c.alias(n) for n, c in cols.items()]).groupBy(*[f"`{n}`" for n in cols]).agg(F.count(F.lit(1)).alias("cw:n"))
+
+        rows = side(self.matches(q, q.alias), q, q.alias)
+        for k, j in enumerate(q.joins):
+            right = side(self._subquery(j), j.query, j.alias).withColumnRenamed("cw:n", "cw:m")
+            left = rows.withColumn("cw:x", F.col(f"`cw:j:{ends[k][0]}`"))
+            both = self._matched(left, right.withColumn("cw:y", F.col(f"`cw:j:{ends[k][1]}`")), j)
+            later = {f"cw:j:{r}" for e in ends[k + 1 :] for r in e}
+            keep = [c for c in made if c.startswith("cw:v:") or c in later]
+            n = F.coalesce("`cw:n`", F.lit(1)) * F.coalesce("`cw:m`", F.lit(1))
+            rows = both.withColumn("cw:n", n).groupBy(*[f"`{c}`" for c in keep]).agg(F.coalesce(F.sum("`cw:n`"), F.lit(0)).alias("cw:n"))
+
+        def count(c: Count) -> Column:
+            if c.target == "*":
+                return F.coalesce(F.sum("`cw:n`"), F.lit(0))
+            value = F.col(f"`cw:v:{Ref('DOCUMENT_ID', q.alias) if c.target == 'DOCUMENTS' else own(c.target)}`")
+            return F.count_distinct(value) if c.unique or c.target == "DOCUMENTS" else F.coalesce(F.sum(F.when(value.isNotNull(), F.col("`cw:n`"))), F.lit(0))
+
+        counts = {str(c): count(c) for c in q.select if isinstance(c, Count)}
+        keys = list(dict.fromkeys((str(g), f"cw:v:{own(g)}") for g in q.group_by))
+        out = rows.groupBy(*[F.col(f"`{c}`").alias(g) for g, c in keys]).agg(*[c.alias(n) for n, c in (counts or {"count": F.coalesce(F.sum("`cw:n`"), F.lit(0))}).items()])
+        return out.select(*[f"`{n}`" for n in ([str(s) for s in q.select] if counts else [*(g for g, _ in keys), "count"])])
 
 
 def explain(df: DataFrame) -> str:

@@ -36,11 +36,11 @@ CELLS = ["document_id", "sentence_id"]
 
 
 def rel(spark: SparkSession, path: str, **kw) -> Engine:
-    return Engine(spark, {"rel": corpus.relational_corpus(spark, path), "events": corpus.event_corpus(spark, path)}, **kw)
+    return Engine(spark, {"rel": corpus.relational_corpus(spark, path), "events": corpus.event_corpus(spark, path)}, ordered=False, **kw)
 
 
-def txt(spark: SparkSession, path: str, stopwords: frozenset[str] = frozenset()) -> Engine:
-    return Engine(spark, {"docs": corpus.text_corpus(spark, path, stopwords=stopwords)})
+def txt(spark: SparkSession, path: str, stopwords: frozenset[str] = frozenset(), **kw) -> Engine:
+    return Engine(spark, {"docs": corpus.text_corpus(spark, path, stopwords=stopwords)}, ordered=False, **kw)
 
 
 def _add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
@@ -50,6 +50,7 @@ def _add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | No
 
 
 def _language(name: str, text: str, columns: list[str], sql: str, make=rel, base: str = REL, **kw) -> None:
+    """A query in the language; `sql` goes on from the corpus' tables in SQL."""
     _add(name, lambda spark, path: make(spark, path, **kw).sql(text).toDF(*columns), f"WITH {base} {sql}")
 
 
@@ -131,7 +132,7 @@ def _join(name: str, left: str, right: str, kind: str, op: str, sql: str, source
 RED_L = f"(SELECT l AS x, document_id, sentence_id FROM {LOC} SEMI JOIN (SELECT * FROM tok WHERE name = 'red widget') USING (document_id, sentence_id))"
 OLD_L = "(SELECT min(value) AS y, document_id, sentence_id FROM ent SEMI JOIN (SELECT * FROM tok WHERE name = 'old gear') USING (document_id, sentence_id) WHERE type = 'LOCATION' AND value <> 'asia' GROUP BY document_id, sentence_id)"
 _EQ = ("CONTAINS('red widget') AND NER(LOCATION) BIND x", "CONTAINS('old gear') AND NER(LOCATION, 'africa', 'america', 'europe', 'middle east') BIND v")
-_join("join_equality", *_EQ, "INNER", "=", f"SELECT x, y, count(*) AS cnt FROM {RED_L} JOIN {OLD_L} ON x = y GROUP BY ALL")
+_join("join_equality", *_EQ, "INNER", "=", f"SELECT x, y, count(*) AS cnt FROM {RED_L} JOIN {OLD_L} ON x = y GROUP BY ALL", pushdown=False)
 _join("join_left", *_EQ, "LEFT", "=", f"SELECT x, y, count(*) AS cnt FROM {RED_L} LEFT JOIN {OLD_L} ON x = y GROUP BY ALL")
 _join("join_right", _EQ[1].replace("BIND v", "BIND x"), _EQ[0].replace("BIND x", "BIND v"), "RIGHT", "==", f"SELECT b.y AS x, a.x AS y, count(*) AS cnt FROM {RED_L} a LEFT JOIN {OLD_L} b ON a.x = b.y GROUP BY ALL")
 _RW = "(SELECT min(d) AS {v}, document_id, sentence_id FROM line WHERE d BETWEEN DATE '{a}' AND DATE '{z}' GROUP BY document_id, sentence_id)"
@@ -139,9 +140,9 @@ _D = "(SELECT * FROM {rw} SEMI JOIN (SELECT * FROM tok WHERE name = '{n}') USING
 X, Y = _D.format(rw=_RW.format(v="x", a="1996-01-01", z="1996-12-31"), n="red widget"), _D.format(rw=_RW.format(v="y", a="1996-06-01", z="1996-06-30"), n="old gear")
 _DATED = ("CONTAINS('red widget') AND DATE(= 1996) BIND x", "CONTAINS('old gear') AND DATE(= 1996-06) BIND v")
 for _name, _op, _sql in (("join_before", "BEFORE", "<"), ("join_after", "AFTER", ">"), ("join_interval", "INTERSECT", "=")):
-    _join(_name, *_DATED, "INNER", _op, f"SELECT CAST(x AS VARCHAR) AS x, CAST(y AS VARCHAR) AS y, count(*) AS cnt FROM {X} JOIN {Y} ON x {_sql} y GROUP BY ALL")
-_join("pushdown_temporal", *_DATED, "INNER", "BEFORE", ORACLES["join_before"].removeprefix(f"WITH {REL} "), pushdown=False)
-_join("pushdown_entity", *_EQ, "INNER", "=", ORACLES["join_equality"].removeprefix(f"WITH {REL} "), pushdown=False)
+    _join(_name, *_DATED, "INNER", _op, pushdown=_op == "INTERSECT", sql=f"SELECT CAST(x AS VARCHAR) AS x, CAST(y AS VARCHAR) AS y, count(*) AS cnt FROM {X} JOIN {Y} ON x {_sql} y GROUP BY ALL")
+_join("pushdown_temporal", *_DATED, "INNER", "BEFORE", ORACLES["join_before"].removeprefix(f"WITH {REL} "), pushdown=True)
+_join("pushdown_entity", *_EQ, "INNER", "=", ORACLES["join_equality"].removeprefix(f"WITH {REL} "), pushdown=True)
 _language("join_chain", "SELECT x, b.v, c.z, COUNT(*) FROM rel JOIN (SELECT v FROM rel WHERE CONTAINS('old gear') AND NER(LOCATION) BIND v) ALIAS b ON x = b.v JOIN (SELECT z FROM rel WHERE CONTAINS('new bolt') AND NER(LOCATION) BIND z) ALIAS c ON b.v = c.z WHERE CONTAINS('red widget') AND NER(LOCATION) BIND x GROUP BY x, b.v, c.z", ["x", "y", "z", "cnt"], f"SELECT x, x AS y, x AS z, a * b * c AS cnt FROM (SELECT x, count(*) AS a FROM {RED_L} GROUP BY x) JOIN (SELECT l AS x, count(*) AS b FROM {LOC} SEMI JOIN (SELECT * FROM tok WHERE name = 'old gear') USING (document_id, sentence_id) GROUP BY l) USING (x) JOIN (SELECT l AS x, count(*) AS c FROM {LOC} SEMI JOIN (SELECT * FROM tok WHERE name = 'new bolt') USING (document_id, sentence_id) GROUP BY l) USING (x)")
 _language("join_cells", "SELECT DOCUMENT_ID, COUNT(*) FROM rel JOIN (SELECT DOCUMENT_ID FROM rel WHERE CONTAINS('old gear')) ALIAS b ON DOCUMENT_ID = b.DOCUMENT_ID WHERE CONTAINS('red widget') GROUP BY DOCUMENT_ID", ["document_id", "cnt"], "SELECT document_id, a.n * b.n AS cnt FROM (SELECT document_id, count(DISTINCT sentence_id) AS n FROM tok WHERE name = 'red widget' GROUP BY 1) a JOIN (SELECT document_id, count(DISTINCT sentence_id) AS n FROM tok WHERE name = 'old gear' GROUP BY 1) b USING (document_id)")
 _join("event_sequence", "CONTAINS('error') AND DATE(= 2024-01-05) BIND x", "CONTAINS('purchase') AND DATE(= 2024-01) BIND v", "INNER", "BEFORE", f"SELECT CAST(a.d AS VARCHAR) AS x, CAST(b.d AS VARCHAR) AS y, count(*) AS cnt FROM {ERR} a JOIN {BUY} b ON a.d < b.d WHERE a.d = DATE '2024-01-05' AND b.d BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' GROUP BY ALL", "events")
@@ -317,9 +318,11 @@ _add("doc_renumber", doc_renumber, "SELECT doc_id AS old_id, (SELECT max(doc_id)
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A folder for files of this run: shared on a cluster, temporary in tests."""
+    """A folder for files of this run: shared on a cluster, temporary in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="cellweave-")
@@ -375,4 +378,136 @@ def streaming_ingest(spark: SparkSession, path: str) -> DataFrame:
 
 
 _add("streaming_ingest", streaming_ingest, f"WITH {TXT} SELECT document_id, count(*) AS tokens FROM tok GROUP BY document_id")
+
+
+# snippets of texts: the word may stand in any sentence, its place in the text is the sentence's place and its own
+_SNIP = """pl AS (SELECT doc_id AS document_id, text AS t, string_split_regex(text, '[.!?\n]+') AS p, regexp_extract_all(text, '[.!?\n]+') AS q FROM documents),
+st AS (SELECT document_id, t, unnest(p) AS s, unnest(range(len(p))) AS sentence_id, unnest(list_transform(range(len(p)), lambda k: coalesce(list_sum(list_transform(p[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(q[1:k], lambda x: length(x))), 0))) AS off FROM pl),
+wd AS (SELECT document_id, CAST(sentence_id AS BIGINT) AS sentence_id, t, off, regexp_extract_all(s, '[\\p{L}\\p{N}]+') AS w, string_split_regex(s, '[\\p{L}\\p{N}]+') AS g FROM st),
+hit AS (SELECT *, list_position(list_transform(w, lambda x: lower(x)), 'the') AS k FROM wd),
+rng AS (SELECT document_id, sentence_id, t, CAST(greatest(off + list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:k - 1], lambda x: length(x))), 0) - 12, 0) AS BIGINT) AS a, CAST(least(off + list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:k - 1], lambda x: length(x))), 0) + 15, length(t)) AS BIGINT) AS z FROM hit WHERE k > 0)
+SELECT document_id, sentence_id, CASE WHEN a > 0 THEN '...' ELSE '' END || trim(replace(substring(t, a + 1, z - a), chr(10), ' ')) || CASE WHEN z < length(t) THEN '...' ELSE '' END AS snip FROM rng"""
+_add("snippet_text", lambda spark, path: txt(spark, path).sql("SELECT DOCUMENT_ID, SENTENCE_ID, SNIPPET(w, 12) FROM docs WHERE CONTAINS('the') BIND w").toDF(*CELLS, "snip"), f"WITH {_SNIP}")
+# scopes, all values of a cell, the order of cells
+_language("document_scope", "SELECT DOCUMENT_ID FROM rel WHERE CONTAINS('red widget') AND NER(LOCATION, 'asia') GRANULARITY DOCUMENT", ["document_id"], "SELECT DISTINCT document_id FROM tok WHERE name = 'red widget' INTERSECT SELECT document_id FROM ent WHERE type = 'LOCATION' AND value = 'asia'", document_scope=True)
+_language("sentence_window", "SELECT DOCUMENT_ID, SENTENCE_ID FROM rel WHERE CONTAINS('red widget') AND NER(LOCATION, 'asia') GRANULARITY SENTENCE 1", CELLS, "SELECT DISTINCT a.document_id, a.sentence_id FROM tok a JOIN ent b ON a.document_id = b.document_id AND abs(a.sentence_id - b.sentence_id) <= 1 WHERE a.name = 'red widget' AND type = 'LOCATION' AND value = 'asia'", sentence_window=True)
+_language("multi_bindings", "SELECT p, l, DOCUMENT_ID, SENTENCE_ID FROM rel WHERE NER(ORGANIZATION) BIND p AND NER(LOCATION) BIND l AND CONTAINS('red')", ["p", "l", *CELLS], f"SELECT DISTINCT a.value AS p, b.value AS l, document_id, sentence_id FROM ent a JOIN ent b USING (document_id, sentence_id) SEMI JOIN ({RED}) USING (document_id, sentence_id) WHERE a.type = 'ORGANIZATION' AND b.type = 'LOCATION'", multi=True)
+_language("implicit_order", "SELECT p, DOCUMENT_ID, SENTENCE_ID FROM rel WHERE CONTAINS('red') AND NER(ORGANIZATION) BIND p LIMIT 30", ["p", *CELLS], f"SELECT p, document_id, sentence_id FROM {ORG} SEMI JOIN ({RED}) USING (document_id, sentence_id) ORDER BY document_id, sentence_id LIMIT 30")
+
+
+# stored feature tables: written once, then every condition is a filter of files
+def stored(spark: SparkSession, path: str, text: str, columns: list[str], stitch: bool = False, **kw) -> DataFrame:
+    target = _scratch(spark)
+    corpus.store(corpus.relational_corpus(spark, path), target, **kw)
+    return Engine(spark, {"rel": corpus.stored_corpus(spark, target)}, stitch=stitch, ordered=False).sql(text).toDF(*columns)
+
+
+def _stored(name: str, like: str, text: str, columns: list[str], **kw) -> None:
+    """The query `like`, over stored tables; the same SQL holds."""
+    _add(name, lambda spark, path: stored(spark, path, text, columns, **kw), ORACLES[like])
+
+
+_CELLS_OF = "SELECT DOCUMENT_ID, SENTENCE_ID FROM rel WHERE "
+_stored("stored_unigram", "contains_unigram", _CELLS_OF + "CONTAINS('red')", CELLS, grams=(1,), tables=())
+_stored("stored_prefix", "contains_prefix_bigram", _CELLS_OF + "CONTAINS('red g*')", CELLS, grams=(2,), tables=())
+_stored("stored_and", "and_cells", _CELLS_OF + "NER(LOCATION, 'asia') AND CONTAINS('red') AND DATE(= 1997)", CELLS, grams=(1,), tables=("entities", "dates"))
+_stored("stored_not", "not_cells", _CELLS_OF + "NOT CONTAINS('red')", CELLS, grams=(1,), tables=())
+_stored("stitched_lookup", "and_cells", _CELLS_OF + "NER(LOCATION, 'asia') AND CONTAINS('red') AND DATE(= 1997)", CELLS, stitch=True, grams=(), tables=("dates",), stitched=(("ner", 1),))
+_language("stitched_base", "SELECT t, DOCUMENT_ID, SENTENCE_ID FROM rel WHERE CONTAINS('red widget') AND DATE(= 1996) BIND t", ["d", *CELLS], "SELECT CAST(min(d) AS VARCHAR) AS d, document_id, sentence_id FROM line SEMI JOIN (SELECT * FROM tok WHERE name = 'red widget') USING (document_id, sentence_id) WHERE year(d) = 1996 GROUP BY document_id, sentence_id")
+_stored("stitched_date_lookup", "stitched_base", "SELECT t, DOCUMENT_ID, SENTENCE_ID FROM rel WHERE CONTAINS('red widget') AND DATE(= 1996) BIND t", ["d", *CELLS], stitch=True, grams=(), tables=(), stitched=(("date", 2),))
+
+
+def allowed_cells(spark: SparkSession, path: str) -> DataFrame:
+    """A condition within given cells only."""
+    from cellweave.operators.predicates import Evaluator
+    from cellweave.plans.parser import parse
+
+    c = corpus.relational_corpus(spark, path)
+    allowed = c.table("dates").where("year(date) = 1997").select(*CELLS).distinct()
+    return Evaluator(c, allowed=allowed).evaluate(parse("SELECT DOCUMENT_ID FROM rel WHERE NOT CONTAINS('red') OR NER(LOCATION, 'asia')").where)
+
+
+_add("allowed_cells", allowed_cells, f"WITH {REL} SELECT * FROM (SELECT document_id, sentence_id FROM uni EXCEPT {RED} UNION {ASIA}) INTERSECT {Y97}")
+
+
+def consistency(spark: SparkSession, path: str) -> DataFrame:
+    """All checks of stored tables, by check: how many rows break it."""
+    target, c = _scratch(spark), corpus.relational_corpus(spark, path)
+    corpus.store(c, target, grams=(1, 2), stitched=(("ner", 1), ("pos", 2)))
+    return features.index_faults(corpus.stored_corpus(spark, target), (1, 2), (("ner", 1), ("pos", 2)))
+
+
+_add("index_consistency", consistency, "SELECT 'gram ' || n || ': ' || c AS \"check\", CAST(0 AS BIGINT) AS faults FROM (SELECT unnest(['1', '2']) AS n), (SELECT unnest(['blank term', 'too many words', 'offsets out of order', 'cell without word', 'unknown document']) AS c) UNION ALL SELECT unnest(['entities: unknown document', 'dates: unknown document', 'tags: unknown document', 'dependencies: unknown document', 'stitched ner 1: not the product', 'stitched pos 2: not the product']), 0")
+
+
+def relative_offsets(spark: SparkSession, path: str) -> DataFrame:
+    """Words of texts with offsets from the sentence's first kept word, cut where a sentence grows too long."""
+    notes = _notes(spark, path)
+    kept = notes.where(features.keep_token(F.col("token"), F.col("pos"))).withColumns({"begin_char": F.col("begin_char") + 1000, "end_char": F.col("end_char") + 1000})
+    return features.relative_offsets(kept).groupBy("begin_char", "end_char").agg(F.count("*").alias("n"))
+
+
+_add("relative_offsets", relative_offsets, f"WITH {TXT}, o AS (SELECT document_id, sentence_id, k, length(term) AS n, CAST(sum(length(term) + gap) OVER (PARTITION BY document_id, sentence_id ORDER BY k) AS BIGINT) - gap AS e FROM (SELECT document_id, sentence_id, unnest(w) AS term, unnest(range(len(w))) AS k, length(unnest(g[2:])) AS gap FROM words WHERE len(w) > 0)) SELECT CAST(e - n AS INTEGER) AS begin_char, CAST(e AS INTEGER) AS end_char, count(*) AS n FROM o WHERE e <= 150 GROUP BY ALL")
+
+
+def shared_periods(spark: SparkSession, path: str) -> DataFrame:
+    """The days that an order's period (its date and the 40 days after) shares with its month, as text of the whole month's kind."""
+    day = F.to_date("o_orderdate")
+    rows = spark.read.parquet(f"{path}/orders.parquet").select("o_orderkey", day.alias("a"), F.date_add(day, 40).alias("z"), F.trunc(day, "month").alias("m"))
+    start, end = dates.shared_period((F.col("a"), F.col("z")), (F.col("m"), dates.period_end(F.col("m"), "month")))
+    return rows.select("o_orderkey", start.alias("first_day"), end.alias("last_day"))
+
+
+_add("shared_periods", shared_periods, "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS first_day, least(CAST(o_orderdate AS DATE) + 40, last_day(CAST(o_orderdate AS DATE))) AS last_day FROM orders")
+_add("custom_aggregate", lambda spark, path: aggregates.group(spark.read.parquet(f"{path}/events.parquet"), ["user_id"], {"reach": aggregates.custom(lambda v: int(v.max() - v.min()), "long")("event_id")}), "SELECT user_id, max(event_id) - min(event_id) AS reach FROM events GROUP BY user_id")
+
+
+def html_sink(spark: SparkSession, path: str) -> DataFrame:
+    nation = spark.read.parquet(f"{path}/nation.parquet").select("n_nationkey", "n_name").orderBy("n_nationkey")
+    return spark.createDataFrame([(line.strip(),) for line in sinks.html_lines(nation)], "line string")
+
+
+_add("html_sink", html_sink, "SELECT unnest(['<table>' || chr(10) || '<tr><th>n_nationkey</th><th>n_name</th></tr>', '</table>']) AS line UNION ALL SELECT '<tr><td>' || n_nationkey || '</td><td>' || n_name || '</td></tr>' FROM nation")
+
+
+def console_sink(spark: SparkSession, path: str) -> DataFrame:
+    said = sinks.console(spark.read.parquet(f"{path}/supplier.parquet").select("s_suppkey", "s_name").orderBy("s_suppkey"), 3)
+    return spark.createDataFrame([(line,) for line in said.split("\n")], "line string")
+
+
+_add("console_sink", console_sink, "SELECT 's_suppkey | s_name' AS line UNION ALL SELECT * FROM (SELECT s_suppkey || ' | ' || s_name FROM supplier ORDER BY s_suppkey LIMIT 3) UNION ALL SELECT '(' || count(*) || ' rows)' FROM supplier")
+
+
+def archive_source(spark: SparkSession, path: str) -> DataFrame:
+    """Nations as news documents in two archives, written through the file system of the shared folder."""
+    import io
+    import tarfile
+
+    base = _scratch(spark)
+    rows = spark.read.parquet(f"{path}/nation.parquet").orderBy("n_nationkey").collect()
+    for part in range(2):
+        raw = io.BytesIO()
+        with tarfile.open(fileobj=raw, mode="w:gz") as tar:
+            for r in rows[part::2]:
+                title = r["n_name"] if r["n_nationkey"] % 5 else ""
+                body = f'<nitf><head><meta name="dsk" content="Desk {r["n_regionkey"]}"/><pubdata date.publication="19870{1 + r["n_nationkey"] % 9}01T000000"/></head><body><body.head><hedline><hl1>{title}</hl1></hedline></body.head><body.content><block class="full_text"><p>Of {r["n_name"]}.</p><p>End.</p></block></body.content></body></nitf>'.encode()
+                info = tarfile.TarInfo(f"{r['n_nationkey']}.xml")
+                info.size = len(body)
+                tar.addfile(info, io.BytesIO(body))
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/news{part}.tar.gz")
+        out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+        out.write(bytearray(raw.getvalue()))
+        out.close()
+    return readers.news_archives(spark, base, extras=True).select("title", "text", "timestamp", F.col("fields")["dsk"][0].alias("desk"))
+
+
+_add("archive_source", archive_source, "SELECT n_name AS title, 'Of ' || n_name || '.' || chr(10) || 'End.' AS text, '1987-0' || (1 + n_nationkey % 9) || '-01T00:00:00Z' AS timestamp, 'Desk ' || n_regionkey AS desk FROM nation WHERE n_nationkey % 5 <> 0")
+
+
+def ranged_resume(spark: SparkSession, path: str) -> DataFrame:
+    orders = spark.read.parquet(f"{path}/orders.parquet").select(F.col("o_orderkey").alias("document_id"))
+    return readers.unannotated(orders, orders.where("document_id % 2 = 0"), start=100, limit=50)
+
+
+_add("resume_range", ranged_resume, "SELECT o_orderkey AS document_id FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey >= 100 ORDER BY 1 LIMIT 50")
 FLAGSHIP = "group_count"

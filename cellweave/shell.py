@@ -26,10 +26,15 @@ class Session:
             self.output = m[1].lower(), m[2]
             return f"output: {m[1].lower()} {m[2]}"
         if m := re.fullmatch(r"SET\s+STRATEGY\s+(.+)", text, re.I):
-            for name, value in re.findall(r"(\w+)\s*=\s*(\w+)", m[1]):
-                if name == "pushdown":
-                    self.engine.pushdown = value == "optimized"
-            return f"strategy: {m[1]}"
+            asked = dict(re.findall(r"(\w+)\s*=\s*(\w+)", m[1]))
+            known = {"pushdown": ("base", "optimized"), "stitch": ("base", "optimized"), "temporal": ("base",)}
+            wrong = [f"{k}={v}" for k, v in asked.items() if v not in known.get(k, ())]
+            if wrong or not asked:
+                return f"error: unknown strategy {', '.join(wrong) or m[1]}"
+            for name in ("pushdown", "stitch"):
+                if name in asked:
+                    setattr(self.engine, name, asked[name] == "optimized")
+            return f"strategy: {', '.join(f'{k}={v}' for k, v in asked.items())}"
         try:
             found = self.engine.sql(text)
             if self.output:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.operators import features
 
+from . import sinks
+
 GRAM = "document_id long, sentence_id long, term string, begin int, end int"
 
 
@@ -17,10 +19,12 @@ class Corpus:
     """Feature tables, each built only when a query reads it.
 
     grams(n): document_id, sentence_id, term, begin, end · entities: type, value · dates: date · tags: tag, term ·
-    dependencies: head, relation, dependent · documents: document_id, title, text, timestamp."""
+    dependencies: head, relation, dependent · documents: document_id, title, text, timestamp ·
+    sentences: document_id, sentence_id, offset (of the sentence's first word in the text; None where offsets count from the text's start) ·
+    stitched(kind, n): n-grams beside annotations of kind ner, date or pos, where such a table is stored, else None."""
 
-    def __init__(self, documents: DataFrame, grams: Callable[[int], DataFrame], entities: Callable[[], DataFrame] | None = None, dates: Callable[[], DataFrame] | None = None, tags: Callable[[], DataFrame] | None = None, dependencies: Callable[[], DataFrame] | None = None):
-        self.documents, self.grams = documents, grams
+    def __init__(self, documents: DataFrame, grams: Callable[[int], DataFrame], entities: Callable[[], DataFrame] | None = None, dates: Callable[[], DataFrame] | None = None, tags: Callable[[], DataFrame] | None = None, dependencies: Callable[[], DataFrame] | None = None, sentences: DataFrame | None = None, stitched: Callable[[str, int], DataFrame | None] = lambda kind, n: None):
+        self.documents, self.grams, self.sentences, self.stitched = documents, grams, sentences, stitched
         self._made = {"entities": entities, "dates": dates, "tags": tags, "dependencies": dependencies}
 
     def has(self, name: str) -> bool:
@@ -35,20 +39,31 @@ class Corpus:
         return self.grams(1).select(*features.CELL).distinct()
 
 
-def from_annotations(documents: DataFrame, annotations: DataFrame, dependencies: DataFrame | None = None, stopwords: frozenset[str] = frozenset()) -> Corpus:
-    return Corpus(documents, lambda n: features.ngrams(annotations, n, stopwords), lambda: features.entities(annotations), lambda: features.dates(annotations), lambda: features.tags(annotations), (lambda: features.dependencies(dependencies, stopwords)) if dependencies is not None else None)
+def from_annotations(documents: DataFrame, annotations: DataFrame, dependencies: DataFrame | None = None, stopwords: frozenset[str] = frozenset(), sentences: DataFrame | None = None) -> Corpus:
+    return Corpus(documents, lambda n: features.ngrams(annotations, n, stopwords), lambda: features.entities(annotations), lambda: features.dates(annotations), lambda: features.tags(annotations), (lambda: features.dependencies(dependencies, stopwords)) if dependencies is not None else None, sentences)
+
+
+SENTENCE_END, WORD = r"[.!?\n]+", r"[\p{L}\p{N}]+"
+
+
+def sentence_offsets(documents: DataFrame) -> DataFrame:
+    """document_id, sentence_id, offset: where in its text the first word of each sentence of `annotate` begins."""
+    piece, gap = F.split("text", SENTENCE_END), F.regexp_extract_all("text", F.lit(SENTENCE_END), F.lit(0))
+    parts = documents.select("document_id", F.posexplode(F.arrays_zip(piece.alias("piece"), gap.alias("gap"))).alias("sentence_id", "x"))
+    before = Window.partitionBy("document_id").orderBy("sentence_id").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("x.piece") + F.coalesce(F.length("x.gap"), F.lit(0))).over(before), F.lit(0))
+    lead = F.length(F.split("x.piece", WORD, 2)[0])
+    return parts.withColumn("start", start).where(F.col("x.piece").rlike(r"[\p{L}\p{N}]")).select("document_id", F.col("sentence_id").cast("long"), (F.col("start") + lead).cast("int").alias("offset"))
 
 
 def annotate(documents: DataFrame) -> DataFrame:
     """The default annotator, in native expressions: sentences end at . ! ? or a line break, words are runs of letters and digits.
     Numbers of four digits from 1925 to 2025 are dates; other words have the tag NN and no entity. Offsets count from the sentence's first word."""
-    sentence = documents.select("document_id", F.posexplode(F.split("text", r"[.!?\n]+")).alias("sentence_id", "sentence")).where(F.col("sentence").rlike(r"[\p{L}\p{N}]"))
+    sentence = documents.select("document_id", F.posexplode(F.split("text", SENTENCE_END)).alias("sentence_id", "sentence")).where(F.col("sentence").rlike(r"[\p{L}\p{N}]"))
     # the gaps before the words and the words: lengths add up to offsets
-    word = F.regexp_extract_all("sentence", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    gap = F.split("sentence", r"[\p{L}\p{N}]+", -1)
+    word = F.regexp_extract_all("sentence", F.lit(WORD), F.lit(0))
+    gap = F.split("sentence", WORD, -1)
     rows = sentence.select("document_id", F.col("sentence_id").cast("long"), F.posexplode(F.arrays_zip(gap.alias("gap"), word.alias("token"))).alias("pos_no", "x")).where("x.token is not null")
-    from pyspark.sql import Window
-
     line = Window.partitionBy("document_id", "sentence_id").orderBy("pos_no").rowsBetween(Window.unboundedPreceding, 0)
     first = Window.partitionBy("document_id", "sentence_id").orderBy("pos_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     end = F.sum(F.length("x.gap") + F.length("x.token")).over(line)
@@ -61,7 +76,7 @@ def annotate(documents: DataFrame) -> DataFrame:
 def text_corpus(spark: SparkSession, path: str, table: str = "documents", key: str = "doc_id", title: str = "source", stopwords: frozenset[str] = frozenset()) -> Corpus:
     rows = spark.read.parquet(f"{path}/{table}.parquet")
     documents = rows.select(F.col(key).alias("document_id"), F.col(title).cast("string").alias("title"), "text", F.lit(None).cast("string").alias("timestamp"))
-    return from_annotations(documents, annotate(documents), None, stopwords)
+    return from_annotations(documents, annotate(documents), None, stopwords, sentence_offsets(documents))
 
 
 def relational_corpus(spark: SparkSession, path: str) -> Corpus:
@@ -118,3 +133,46 @@ def event_corpus(spark: SparkSession, path: str) -> Corpus:
         return rows.select(*cell, F.lower("event_type").alias("term"), zero.alias("begin"), F.length("event_type").alias("end")) if n == 1 else spark.createDataFrame([], GRAM)
 
     return Corpus(documents, grams, None, lambda: rows.select(*cell, F.to_date("ts").alias("date"), zero.alias("begin"), zero.alias("end")))
+
+
+#: The column that each stored table is searched by. Stitched tables are searched by their n-gram.
+KEYS = {"documents": "document_id", "sentences": "document_id", "entities": "value", "dates": "date", "tags": "term", "dependencies": "head"}
+NOTES = {"ner": ("entities", None), "date": ("dates", "DATE"), "pos": ("tags", None)}
+
+
+def _place(path: str, name: str) -> str:
+    return f"{path}/{name}"
+
+
+def store(corpus: Corpus, path: str, grams: tuple[int, ...] = (1, 2, 3), tables: tuple[str, ...] = ("documents", "sentences", "entities", "dates", "tags", "dependencies"), stitched: tuple[tuple[str, int], ...] = ()) -> None:
+    """Writes feature tables, each in ranges of its key and sorted by it, so that a lookup reads the files and row groups of its key only.
+    A hot key spreads over files by document. `stitched`: which (kind, n) are written as well."""
+
+    def write(rows: DataFrame, name: str, key: str) -> None:
+        sinks.features(rows.repartitionByRange(key, "document_id"), _place(path, name), key)
+
+    for n in grams:
+        write(corpus.grams(n), f"gram{n}", "term")
+    for name in tables:
+        rows = corpus.documents if name == "documents" else corpus.sentences if name == "sentences" else corpus.table(name) if corpus.has(name) else None
+        if rows is not None:
+            write(rows, name, KEYS[name])
+    for kind, n in stitched:
+        table, type_ = NOTES[kind]
+        notes = corpus.table(table).withColumnsRenamed({"tag": "type", "term": "value"} if kind == "pos" else {"date": "value"} if kind == "date" else {})
+        write(features.stitch(corpus.grams(n), notes, type_), f"stitched_{kind}{n}", "ngram")
+
+
+def stored_corpus(spark: SparkSession, path: str) -> Corpus:
+    """The corpus that `store` wrote at `path`; nothing is tokenised again, and filters on keys reach the files."""
+
+    def there(name: str) -> bool:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_place(path, name))
+        return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+    def read(name: str) -> DataFrame:
+        return spark.read.parquet(_place(path, name))
+
+    made = {name: (lambda name=name: read(name)) if there(name) else None for name in ("entities", "dates", "tags", "dependencies")}
+    documents = read("documents") if there("documents") else spark.createDataFrame([], "document_id long, title string, text string, timestamp string")
+    return Corpus(documents, lambda n: read(f"gram{n}"), *made.values(), read("sentences") if there("sentences") else None, lambda kind, n: read(f"stitched_{kind}{n}") if there(f"stitched_{kind}{n}") else None)

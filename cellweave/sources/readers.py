@@ -15,10 +15,17 @@ def json_lines(spark: SparkSession, path: str, limit: int | None = None) -> Data
     return rows if limit is None else rows.limit(limit)
 
 
-def news_archives(spark: SparkSession, path: str) -> DataFrame:
+#: Further fields of a news document and the elements that hold them. Fixed values of the public news format.
+NEWS_FIELDS = {"byline": ".//byline[@class='print_byline']", "dateline": ".//dateline", "lead": ".//block[@class='lead_paragraph']", "abstract": ".//abstract", "descriptors": ".//classifier[@type='descriptor']", "general_descriptors": ".//classifier[@type='general_descriptor']", "taxonomic_classifiers": ".//classifier[@type='taxonomic_classifier']", "types_of_material": ".//classifier[@type='types_of_material']", "people": ".//person", "locations": ".//location", "organizations": ".//org", "titles": ".//object.title", "correction": ".//block[@class='correction_text']", "kicker": ".//kicker", "online_headline": ".//hl2"}
+NEWS_META = ("publication_day_of_month", "publication_month", "publication_year", "publication_day_of_week", "dsk", "online_sections", "print_page_number", "print_section", "print_column", "feature_page", "series_name", "alternate_url", "slug", "banner")
+
+
+def news_archives(spark: SparkSession, path: str, extras: bool = False) -> DataFrame:
     """file, place, title, text, timestamp of the XML entries of tar.gz archives; entries without title or body are left out.
-    An archive is one task's work: archives can't be split."""
+    With `extras` also `fields`: all other known fields by name, each with its values. Entries stream out of an archive a few hundred at a time; an
+    archive is one task's work, as compressed archives can't be split."""
     files = spark.read.format("binaryFile").load(path)
+    columns = ["file", "place", "title", "text", "timestamp"] + ["fields"] * extras
 
     def run(batches):
         import io
@@ -28,9 +35,13 @@ def news_archives(spark: SparkSession, path: str) -> DataFrame:
 
         import pandas as pd
 
-        def body(root) -> str:
-            found = root.find(".//block[@class='full_text']")
-            return "\n".join("".join(p.itertext()).strip() for p in (found if found is not None else []))
+        def flat(e) -> str:
+            return "".join(e.itertext()).strip() if e is not None else ""
+
+        def fields(root) -> dict[str, list[str]]:
+            out = {n: [v for e in root.findall(p) if (v := flat(e))] for n, p in NEWS_FIELDS.items()}
+            out |= {m.get("name"): [m.get("content")] for m in root.findall(".//meta") if m.get("name") in NEWS_META and m.get("content")}
+            return {n: v for n, v in out.items() if v}
 
         for frame in batches:
             for name, content in zip(frame["path"], frame["content"], strict=True):
@@ -41,17 +52,20 @@ def news_archives(spark: SparkSession, path: str) -> DataFrame:
                             root = ET.fromstring(tar.extractfile(entry).read())
                         except ET.ParseError:
                             continue
-                        title = "".join((root.find(".//hedline/hl1") if root.find(".//hedline/hl1") is not None else ET.Element("x")).itertext()).strip()
-                        text, when = body(root), root.find(".//pubdata")
+                        found, when = root.find(".//block[@class='full_text']"), root.find(".//pubdata")
+                        title, text = flat(root.find(".//hedline/hl1")), "\n".join(flat(p) for p in (found if found is not None else []))
                         try:
                             stamp = datetime.strptime((when.get("date.publication") or "")[:15], "%Y%m%dT%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ") if when is not None else None
                         except ValueError:
                             stamp = None
                         if title and text.strip():
-                            rows.append((name, place, title, text, stamp))
-                yield pd.DataFrame(rows, columns=["file", "place", "title", "text", "timestamp"])
+                            rows.append((name, place, title, text, stamp, *([fields(root)] * extras)))
+                        if len(rows) >= 500:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows = []
+                yield pd.DataFrame(rows, columns=columns)
 
-    return files.select("path", "content").mapInPandas(run, "file string, place long, title string, text string, timestamp string")
+    return files.select("path", "content").mapInPandas(run, "file string, place long, title string, text string, timestamp string" + ", fields map<string,array<string>>" * extras)
 
 
 def per_year(rows: DataFrame, total: int, year: str = "year", order: list[str] | None = None) -> DataFrame:

@@ -195,3 +195,97 @@ def test_streaming_takes_only_new_files(spark, tmp_path):
         spark.createDataFrame([(k, "a b")], schema).write.mode("append").parquet(f"{tmp_path}/in")
         ingest(spark, f"{tmp_path}/in", schema, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
         assert spark.read.parquet(f"{tmp_path}/out").count() == 2 * (k + 1)
+
+
+def test_counts_through_joins_are_those_of_pairs(engine, spark):
+    """Counts by distinct values of each side equal counts over the joined rows."""
+    joins = "{kind} JOIN (SELECT u FROM c WHERE NER(CITY) BIND u OR DATE(>= 2023) BIND g) ALIAS b ON a.t {op} b.g {kind} JOIN (SELECT p FROM c WHERE NER(PERSON) BIND p AND NER(PERSON) BIND e) ALIAS x ON b.u = x.p"
+    for kind in ("INNER", "LEFT"):
+        for op in ("BEFORE", "="):
+            tail = f"FROM c ALIAS a {joins.format(kind=kind, op=op)} WHERE DATE(< 2025) BIND t"
+            every = rows(engine, f"SELECT a.t, b.u, x.p, a.DOCUMENT_ID {tail}")
+            got = rows(engine, f"SELECT a.t, b.u, COUNT(*), COUNT(x.p), COUNT(UNIQUE x.p), COUNT(DOCUMENTS) {tail} GROUP BY a.t, b.u")
+            want = {}
+            for t, u, p, d in every:
+                n = want.setdefault((t, u), [0, 0, set(), set()])
+                n[0], n[1] = n[0] + 1, n[1] + (p is not None)
+                n[2] |= {p} - {None}
+                n[3].add(d)
+            assert {g[:2]: list(g[2:]) for g in got} == {k: [n[0], n[1], len(n[2]), len(n[3])] for k, n in want.items()}, (kind, op)
+            assert rows(engine, f"SELECT COUNT(*) {tail}") == [(len(every),)]
+
+
+def test_joins_make_no_pairs_to_count(engine):
+    from cellweave.plans.engine import explain
+
+    plan = explain(engine.sql("SELECT a.p, COUNT(*) FROM c ALIAS a JOIN (SELECT q FROM c WHERE NER(PERSON) BIND q) ALIAS b ON a.p = b.q WHERE NER(PERSON) BIND p GROUP BY a.p"))
+    tree = plan.split("\n\n")[0]
+    assert tree.count("Aggregate") >= 6, tree
+
+
+def test_not_needs_cells(spark, engine):
+    docs = engine.corpora["c"].documents
+    empty = Corpus(docs, lambda n: spark.createDataFrame([], OCC.format("term string,")))
+    with pytest.raises(ExecutionError):
+        Engine(spark, {"none": empty}).sql("SELECT DOCUMENT_ID FROM none WHERE NOT CONTAINS('a')")
+
+
+def test_snippets_of_later_sentences(spark):
+    from cellweave.sources.corpus import from_annotations, sentence_offsets
+
+    docs = spark.createDataFrame([(1, "  The first sentence here. A zebra ran away."), (2, "zebra"), (3, "Oh!?\n\n (zebra) é"), (4, None), (5, "")], "document_id long, text string").selectExpr("document_id", "'t' AS title", "text", "CAST(NULL AS STRING) AS timestamp")
+    e = Engine(spark, {"docs": from_annotations(docs, annotate(docs), None, frozenset(), sentence_offsets(docs))})
+    assert rows(e, "SELECT DOCUMENT_ID, SNIPPET(w, 3) FROM docs WHERE CONTAINS('zebra') BIND w") == [(1, "...A zebra ra..."), (2, "zebra"), (3, "...(zebra) é")]
+
+
+def test_all_values_of_a_cell(spark):
+    words = spark.createDataFrame([(1, 1, "ab", 0, 2), (1, 1, "ac", 3, 5), (1, 2, "ad", 0, 2)], OCC.format("term string,"))
+    ents = spark.createDataFrame([(1, 1, "CITY", "rome", 0, 2), (1, 1, "CITY", "oslo", 3, 5)], OCC.format("type string, value string,"))
+    c = Corpus(spark.createDataFrame([(1, None, "", None)], "document_id long, title string, text string, timestamp string"), lambda n: words, lambda: ents)
+    one, many = Engine(spark, {"c": c}), Engine(spark, {"c": c}, multi=True)
+    text = "SELECT w, v, DOCUMENT_ID, SENTENCE_ID FROM c WHERE CONTAINS('a*') BIND w AND NER(CITY) BIND v"
+    assert rows(one, text) == [("ab", "oslo", 1, 1)]
+    assert sorted(rows(many, text)) == [(w, v, 1, 1) for w in ("ab", "ac") for v in ("oslo", "rome")]
+    either = "SELECT w, v, SENTENCE_ID FROM c WHERE CONTAINS('ad') BIND w OR NER(CITY) BIND v"
+    assert sorted(rows(many, either), key=str) == sorted([("ad", None, 2), (None, "oslo", 1), (None, "rome", 1)], key=str)
+
+
+def test_stored_tables_answer_alike(spark, engine, tmp_path):
+    from cellweave.operators.features import index_faults
+    from cellweave.plans.engine import explain
+    from cellweave.sources.corpus import store, stored_corpus
+
+    c = engine.corpora["c"]
+    store(c, str(tmp_path), tables=("documents", "entities", "dates", "tags", "dependencies"), stitched=(("ner", 1), ("date", 1), ("pos", 1)))
+    back = stored_corpus(spark, str(tmp_path))
+    plain, stitch = Engine(spark, {"c": back}), Engine(spark, {"c": back}, stitch=True)
+    for where in ("CONTAINS('apple')", "CONTAINS('ban*')", "NOT CONTAINS('apple')", "CONTAINS('apple') AND NER(CITY)", "CONTAINS('apple') AND NER(CITY, 'Rome')", "CONTAINS('apple') AND DATE(= 2023-01)", "CONTAINS('apple') AND POS(NN, 'Apple') AND NOT CONTAINS('test')", "CONTAINS('apple') AND NER(CITY) AND DATE(= 2023)", "CONTAINS('big cat') AND NER(PERSON)"):
+        assert cells(engine, where) == cells(plain, where) == cells(stitch, where), where
+    text = "SELECT t, w, DOCUMENT_ID FROM c WHERE CONTAINS('apple') BIND w AND DATE(= 2023) BIND t"
+    assert rows(plain, text) == rows(stitch, text) == rows(engine, text)
+    assert "EqualTo(term,apple)" in explain(plain.sql("SELECT DOCUMENT_ID FROM c WHERE CONTAINS('apple')"))
+    assert "EqualTo(ngram,apple)" in explain(stitch.sql("SELECT DOCUMENT_ID FROM c WHERE CONTAINS('apple') AND NER(CITY)"))
+    faults = {r.check: r.faults for r in index_faults(back, (1,), (("ner", 1),)).collect()}
+    assert faults["gram 1: blank term"] == 0 and faults["stitched ner 1: not the product"] == 0 and faults["gram 1: unknown document"] == 4
+
+
+def test_strategies_are_checked(engine):
+    s = Session(engine)
+    assert s.execute("SET STRATEGY stitch=optimized") == "strategy: stitch=optimized" and engine.stitch
+    assert s.execute("SET STRATEGY nash=on").startswith("error") and s.execute("SET STRATEGY pushdown=maybe").startswith("error")
+    s.execute("SET STRATEGY stitch=base")
+    assert not engine.stitch
+
+
+def test_news_fields(spark, tmp_path):
+    import io
+    import tarfile
+
+    xml = '<nitf><head><meta name="dsk" content="Sports"/><docdata><identified-content><classifier type="descriptor">A</classifier><classifier type="descriptor">B</classifier><person>P</person></identified-content></docdata></head><body><body.head><hedline><hl1>T</hl1></hedline></body.head><body.content><block class="full_text"><p>x</p></block></body.content></body></nitf>'
+    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as tar:
+        for k in range(1200):
+            info = tarfile.TarInfo(f"{k}.xml")
+            info.size = len(xml)
+            tar.addfile(info, io.BytesIO(xml.encode()))
+    got = readers.news_archives(spark, str(tmp_path / "a.tar.gz"), extras=True).collect()
+    assert len(got) == 1200 and got[0].fields == {"descriptors": ["A", "B"], "people": ["P"], "dsk": ["Sports"]} and got[0].timestamp is None
