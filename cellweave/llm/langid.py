@@ -1,12 +1,16 @@
 """Language identification by compression: the language whose raw-content dictionary makes a text smallest.
 
 Every whole text is normalised (lower case, letters, single spaces) and compressed once for each language with that
-language's Zstandard raw-content dictionary; the smallest frame wins. A text is rejected when the runner-up is within
-`margin` bytes, or when it has no letter.
+language's Zstandard raw-content dictionary; the smallest frame wins. A text is rejected when the runner-up is less than `margin`
+bytes larger, or when it has no letter. `fit` chooses the margin on training rows that no dictionary holds.
+
+A dictionary is a bounded sample (`dictionary_chars` characters a language) of segments from anywhere in the training texts, chosen by
+hash, so any part of any text can be in it.
 
 Defined results: null text or text without letters gives `und`, score 0, rejected. Ties go to the language with more
-training rows, then by name. With no usable training rows every text gives `und`. Rows are treated alone, so repeated
-rows repeat their result, and extra columns are dropped unless named in `keep`.
+training rows, then by name, and are rejected. A language whose training texts have letters is learnt, however few; without any usable
+training rows every text gives `und`. Rows are treated alone, so repeated rows repeat their result, and extra columns are dropped unless named
+in `keep`. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,22 +44,53 @@ class LanguageModel:
         return out
 
 
-def fit(train: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", docs_per_language: int = 160, chars_per_doc: int = 1200, level: int = 3, margin: int = 1) -> LanguageModel:
-    """Builds one dictionary a language from a bounded sample: about `docs_per_language` rows, those of the smallest hash
-    of their id, with at most `chars_per_doc` characters of each. The thresholds come from counts over all rows."""
-    rows = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.col(lang) != UNKNOWN))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+def _hashed(name: str, *columns) -> Column:
+    return F.pmod(F.xxhash64(F.lit(name), *columns), F.lit(1 << 30))
+
+
+def fit(train: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", dictionary_chars: int = 192_000, segment: int = 240, level: int = 3, lost: float = 0.002, most_margin: int = 3, calibration_rows: int = 2000) -> LanguageModel:
+    """Dictionaries from seven eighths of the rows: about `dictionary_chars` of each language, in segments of `segment` characters, those of the
+    smallest hash. The margin, 1 to `most_margin` bytes, is the largest that loses at most the share `lost` of about `calibration_rows` other rows
+    that are told right. Counts are of all rows."""
+    key = F.col(id_col).cast("string")
+    rows = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.col(lang) != UNKNOWN)).select(key.alias("cw_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    counts, chars = {}, {}
+    for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c")).collect():
+        counts[r["lang"]], chars[r["lang"]] = r["n"], r["c"]
     if not counts:
-        return LanguageModel({}, {}, level, margin)
-    place = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30))
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, 2 * docs_per_language / n) * (1 << 30))))])
-    found = rows.select(F.col(lang).alias("lang"), place.alias("place"), text).where(F.col("place") < share[F.col("lang")])
-    found = found.select("lang", "place", F.substring(normal(F.col(text)), 1, chars_per_doc).alias("piece")).where(F.length("piece") > 0)
+        return LanguageModel({}, {}, level)
+
+    def share(most: dict[str, float]) -> Column:
+        return F.create_map(*[x for k, v in most.items() for x in (F.lit(k), F.lit(int(min(1.0, v) * (1 << 30))))])[F.col("lang")]
+
+    # some of the rows first, then some of their segments
+    of_rows = {k: 16 * dictionary_chars / max(c, 1) for k, c in chars.items()}
+    of_segments = {k: 2.5 * dictionary_chars / max(c * min(1.0, of_rows[k]), 1) for k, c in chars.items()}
+    side = F.pmod(F.xxhash64(F.lit("side"), "cw_id"), F.lit(8))
+    held = rows.where((side != 0) & (_hashed("rows", "cw_id") < share(of_rows)))
+    cut = held.select("lang", "cw_id", F.posexplode(F.regexp_extract_all(normal(F.col("text")), F.lit(f".{{1,{segment}}}"), F.lit(0))).alias("at", "piece"))
+    cut = cut.select("lang", _hashed("segments", "cw_id", "at").alias("place"), "piece").where(F.col("place") < share(of_segments))
     pieces: dict[str, list] = {k: [] for k in counts}
-    for r in found.collect():
+    for r in cut.toLocalIterator():
         pieces[r["lang"]].append((r["place"], r["piece"]))
-    made = {k: " ".join(p for _, p in sorted(v)[:docs_per_language]).encode() for k, v in pieces.items()}
-    return LanguageModel({k: v for k, v in made.items() if len(v) >= 8}, counts, level, margin)
+    made = {}
+    for k, v in pieces.items():
+        chosen, size = [], 0
+        for _, piece in sorted(v):
+            if size >= dictionary_chars:
+                break
+            chosen.append(piece)
+            size += len(piece) + 1
+        raw = " ".join(chosen).encode("utf-8", "surrogatepass")
+        if raw:
+            made[k] = (raw + b" ") * (8 // len(raw) + 1) if len(raw) < 8 else raw
+    model = LanguageModel(made, counts, level)
+    n = sum(counts.values())
+    probe = rows.where((side == 0) & (_hashed("probe", "cw_id") < int(min(1.0, 8 * calibration_rows / n) * (1 << 30))))
+    right = [r["n"] for r in identify(probe, model, ["lang"]).where("lang = lang_pred").select(F.least("margin_bytes", F.lit(most_margin)).alias("n")).toLocalIterator()]
+    while model.margin < most_margin and sum(m < model.margin + 1 for m in right) - sum(m < 1 for m in right) <= lost * len(right):
+        model.margin += 1
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text") -> DataFrame:

@@ -61,8 +61,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the query's SQL counts owners only and fixes one
-    found = secrets.scan(table(spark, sf_dir, "documents"), ["doc_id"], max_owners=1)
+    found = secrets.scan(table(spark, sf_dir, "documents"), ["doc_id"])
 
     def count(kind: str):
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -89,17 +88,24 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_quality": op2_quality, "op3_suffix": op3_suffix, "op4_licenses": op4_licenses, "op5_language": op5_language, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets, "op8_jaccard": op8_jaccard, "op9_bpe": op9_bpe, "op10_decontaminate": op10_decontaminate}
+#: Kinds, patterns and least lengths as the contract has them, apart from the operator's own.
+_SQL_KINDS = (
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=\-]+)""", 8),
+    ("access", r"(AKIA[A-Z0-9]+)", 16),
+    ("hex", r"([0-9a-f]+)", 32),
+    ("owned", r"([A-Za-z0-9+/_\-]+)", 24),
+)
 #: What one kind of secret matches: whole matches, values (group 1) and the pieces between.
 _KIND = "SELECT doc_id, source, {no} AS kind_no, '{kind}' AS kind, {least} AS least, regexp_extract_all(t, '{p}') AS w, regexp_extract_all(t, '{p}', 1) AS v, string_split_regex(t, '{p}') AS g FROM d"
-_SQL_PATTERNS = {"owned": "([A-Za-z0-9+/_-]{24,})"}
 _SECRETS = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
-k AS ({" UNION ALL ".join(_KIND.format(no=no, kind=kind, least=least, p=_SQL_PATTERNS.get(kind, pattern).replace("'", "''")) for no, (kind, pattern, _, least) in enumerate(secrets.KINDS))}),
+k AS ({" UNION ALL ".join(_KIND.format(no=no, kind=kind, least=least, p=pattern.replace("'", "''")) for no, (kind, pattern, least) in enumerate(_SQL_KINDS))}),
 e AS (SELECT doc_id, source, kind_no, kind, least, unnest(w) AS w, unnest(v) AS v, unnest(g[1:len(w)]) AS g, unnest(range(len(w))) AS i FROM k WHERE len(w) > 0),
 p AS (SELECT *, CAST(sum(length(g) + length(w)) OVER (PARTITION BY doc_id, kind_no ORDER BY i) AS BIGINT) AS z FROM e),
-s AS (SELECT doc_id, source, kind_no, kind, v, z - length(w) AS a, z FROM p WHERE length(v) >= least AND (kind_no < 3 OR regexp_matches(v, '^[A-Za-z+/_-]{{0,200}}[0-9]') AND regexp_matches(v, '^[0-9+/_-]{{0,200}}[A-Za-z]'))),
+s AS (SELECT doc_id, source, kind_no, kind, v, z - length(w) AS a, z FROM p WHERE length(v) >= least AND (kind_no < 3 OR regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]'))),
 f AS (SELECT * FROM s WHERE kind_no < 3 OR NOT EXISTS (SELECT 1 FROM s b WHERE b.kind_no < 3 AND b.doc_id = s.doc_id AND b.a < s.z AND s.a < b.z)),
-own AS (SELECT v, count(DISTINCT coalesce(source, chr(1))) AS owners FROM f GROUP BY v),
-j AS (SELECT f.*, owners <= 1 AS live FROM f JOIN own USING (v)),
+many AS (SELECT least(100, greatest(2, (count(DISTINCT doc_id) + 99) // 100)) AS repositories, least(10, greatest(2, (count(DISTINCT coalesce(source, chr(1))) + 3) // 4)) AS owners FROM documents),
+own AS (SELECT v, count(DISTINCT doc_id) AS repositories, count(DISTINCT coalesce(source, chr(1))) AS owners FROM f GROUP BY v),
+j AS (SELECT f.*, own.repositories < many.repositories OR own.owners < many.owners AS live FROM f JOIN own USING (v), many),
 r AS (SELECT doc_id, count(*) FILTER (kind_no = 0) AS n_assign, count(*) FILTER (kind_no = 1) AS n_access, count(*) FILTER (kind_no = 2) AS n_hex, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, kind_no) FILTER (kind_no < 3) AS base, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, kind_no) FILTER (kind_no < 3 OR live) AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied FROM j GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM documents LEFT JOIN r USING (doc_id)"""
 _JACCARD = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z_\\x{80}-\\x{10ffff}]+') AS w FROM documents),

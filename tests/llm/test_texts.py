@@ -239,6 +239,19 @@ def test_secrets(spark):
     assert secrets.scan(table(spark, []), ["doc_id"]).count() == 0
 
 
+def test_secrets_long_runs_and_many_spans(spark):
+    """Runs count whatever their length, and a text may hold thousands of spans."""
+    long_run, digits_first = "x" * 210 + "1" * 30, "GH" * 2500 + "7"
+    many = " ".join(f"token={k:08d}abc {k:032x}" for k in range(3000))
+    rows = [(1, f"a {long_run} b", "s1"), (2, digits_first, "s2"), (3, many, "s3"), (4, "z" * 400, "s4"), (5, "a1" * 11, "s4")]
+    got = {r.doc_id: r for r in secrets.scan(table(spark, rows), ["doc_id"]).collect()}
+    assert [(s.kind, s.start, s.end) for s in got[1].spans] == [("owned", 2, 242)] and [(s.kind, s.start, s.end) for s in got[2].spans] == [("owned", 0, 5001)]
+    starts = [m.span() for m in re.finditer("token=[0-9a-f]+", many)] + [m.span() for m in re.finditer("[0-9a-f]{32,}", many)]
+    assert [(s.start, s.end) for s in got[3].base] == sorted(starts) and got[4].spans == got[5].spans == []
+    clean = {r.doc_id: r.text for r in secrets.redact(table(spark, rows, clash=False)).collect()}
+    assert clean[3] == " ".join(["[SECRET] [SECRET]"] * 3000) and clean[1] == "a [SECRET] b"
+
+
 def test_redaction(spark):
     docs = table(spark, SECRETS, clash=False)
     got = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
