@@ -2,20 +2,27 @@
 
 A token sequence is the encoding of a word exactly if each token and each adjacent pair of tokens survives encoding on
 its own. So the encoder keeps, for each of the last positions only, the one token with which an encoding of the prefix
-can end. Tokens are emitted when the chains of all live positions meet. `lookahead()` is the bound on how far they can
+can end. Tokens are stable, and emitted, where the chains of all live positions have met. `lookahead()` is the bound on how far they can
 stay apart that follows from the merge list (number of merges times longest token, for lists in which both parts of a
-merge are made by earlier merges; such lists are the only ones taken); `buffered` is the largest distance met so far.
-Memory depends on the merge list and not on the word's length.
+merge are made by earlier merges; such lists are the only ones taken); the encoder holds no more than that and fails if it had to; `buffered` is
+the largest distance met so far. A document is read in pieces that end before a space, words are encoded one by one, ids go to the hash and
+to the decoder in blocks. So beyond the row's own text memory depends on the merge list, and not on the text's or a word's length.
+
+Decoding feeds ids to a machine that turns their bytes into text as soon as a character is whole. As its state is empty between words, the
+text of a word's ids is kept with the word.
 
 Defined results: null text counts as empty and has no tokens, n_tokens 0 and the hash of the empty string. Rows are
-treated alone. Strings of special tokens in the text give the special ids, as in the tokenizers library.
+treated alone, so repeated rows repeat their result, and an empty table gives no rows. Strings of special tokens in the text give the special ids,
+as in the tokenizers library. Of merges that could make the same token, the first in the list does. Extra columns are dropped unless in `keep`.
 """
 
 from __future__ import annotations
 
 import codecs
 import hashlib
+import itertools
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -40,6 +47,8 @@ def byte_letters() -> list[str]:
     return letters
 
 
+#: Where a document may be cut; words longer than `LONG` are not kept.
+BREAK, LONG = re.compile(r"[ \n]"), 64
 #: Lengths of word beginnings whose states are kept for other words; all are shorter than any span of live positions.
 SHARED = (12, 8, 5)
 
@@ -68,7 +77,7 @@ class Encoder:
         self.left_edge = {t: self._spine(t, 0) for t in self.usable.values()}
         self.right_edge = {t: self._spine(t, 1) for t in self.usable.values()}
         self.begun: dict[str, dict[int, tuple[int, int]]] = {}
-        self.buffered = 0
+        self.buffered, self.bound = 0, self.lookahead()
 
     def _size(self, token: str) -> int:
         return len(token) - (len(self.suffix) if self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix) else 0)
@@ -154,6 +163,8 @@ class Encoder:
                     live.add(max(last[top][1], done))
                 meet = live.pop()
                 self.buffered = max(self.buffered, i - meet)
+                if i - meet > self.bound + most:
+                    raise RuntimeError("live positions stay apart for longer than the merge list allows")
                 if meet > done:
                     yield from self._chain(last, done, meet)
                     last = {p: v for p, v in last.items() if p >= meet}
@@ -171,25 +182,45 @@ class Encoder:
 
 
 class Decoder:
-    """Ids to text, one by one: a token's letters become bytes, bytes become text as soon as a character is whole."""
+    """Ids to text, one by one: a token's bytes go through an incremental machine, which gives text as soon as a character is whole.
+
+    `plain` decodes to words: letters stand for bytes, the suffix for a space. Without it the text is the library's for a file without a
+    decoder: the tokens' own strings, with spaces between; ids that the vocabulary lacks give nothing."""
 
-    def __init__(self, tokens: dict[int, str], suffix: str):
+    def __init__(self, tokens: dict[int, str], suffix: str, plain: bool = True):
         value = {c: b for b, c in enumerate(byte_letters())}
-        self.bytes = {}
+        self.bytes, self.plain, self.begun = {}, plain, False
         for k, t in tokens.items():
+            if not plain:
+                self.bytes[k] = t.encode("utf-8", "surrogatepass")
+                continue
             ends = suffix and t.endswith(suffix)
             body = t[: -len(suffix)] if ends else t
             self.bytes[k] = (bytes(value[c] for c in body) if all(c in value for c in body) else body.encode()) + (b" " if ends else b"")
-        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace" if plain else "surrogatepass")
 
     def feed(self, token: int) -> str:
-        return self.machine.decode(self.bytes.get(token, b""))
+        raw = self.bytes.get(token)
+        if raw is None:
+            return ""
+        glue = b" " if self.begun and not self.plain else b""
+        self.begun = True
+        return self.machine.decode(glue + raw)
 
     def close(self) -> str:
+        """What is left; the machine starts anew."""
         out = self.machine.decode(b"", True)
         self.machine.reset()
+        self.begun = False
         return out
 
+    def all(self, ids) -> str:
+        return "".join([self.feed(i) for i in ids]) + self.close()
+
+
+#: Characters of a document that are normalised and split at once; tokens that are hashed at once.
+PIECE, BLOCK = 1 << 16, 4096
+
 
 class WordBpe:
     """The whole path of a word-level vocabulary file: special strings, NFC, spaces, lower case, split, bytes, merges.
@@ -214,71 +245,90 @@ class WordBpe:
         self.cache: dict[str, tuple[str, str, int]] = {}
         self.old: dict[str, tuple[str, str, int]] = {}
         self.limit = cache
+        self.decoder, self.plain = Decoder(self.string, self.suffix, plain=False), Decoder(self.string, self.suffix)
 
     def word_ids(self, word: str) -> Iterator[int]:
         return self.encoder.encode(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))
 
-    def pieces(self, text: str) -> Iterator[tuple[bool, str]]:
-        """(is special, string): special strings as they stand, and the words between them."""
+    def _flat(self, part: str) -> Iterator[str]:
+        """The normalised text in pieces. They end before a space or line end, where neither normal forms nor words reach across."""
+        start = 0
+        while start < len(part):
+            end = start + PIECE
+            if end < len(part):
+                found = BREAK.search(part, end)
+                end = found.start() if found else len(part)
+            yield unicodedata.normalize("NFC", part[start:end]).replace("Σ", "σ").lower()
+            start = end
+
+    def parts(self, text: str) -> Iterator[tuple[bool, list[str]]]:
+        """(are special strings, strings): special strings as they stand, and the words between them, some thousands at once."""
         for part in self.specials.split(text) if self.specials else [text]:
             if part in self.special:
-                yield True, part
+                yield True, [part]
             elif part:
-                flat = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                for w in self.words.finditer(flat):
-                    yield False, w[0]
+                for flat in self._flat(part):
+                    yield False, self.words.findall(flat)
 
     def ids(self, text: str) -> Iterator[int]:
-        for special, piece in self.pieces(text):
-            if special:
-                yield self.special[piece]
-            else:
-                yield from self.word_ids(piece)
+        for special, words in self.parts(text):
+            for w in words:
+                if special:
+                    yield self.special[w]
+                else:
+                    yield from self.word_ids(w)
 
     def library_text(self, ids) -> str:
-        return " ".join([self.string[i] for i in ids if i in self.string])
+        return self.decoder.all(ids)
 
     def text(self, ids) -> str:
-        d = Decoder(self.string, self.suffix)
-        return "".join(d.feed(i) for i in ids) + d.close()
+        return self.plain.all(ids)
 
-    def _known(self, special: bool, piece: str) -> tuple[str, str, int]:
-        found = self.cache.get(piece)
+    def _known(self, special: bool, word: str) -> tuple[str, str, int]:
+        """Ids, decoded text and number of ids of a word of up to `LONG` characters, or of a special string."""
+        found = self.cache.get(word)
         if found is None:
-            found = self.old.get(piece)
+            found = self.old.get(word)
             if found is None:
-                ids = [self.special[piece]] if special else list(self.word_ids(piece))
+                ids = [self.special[word]] if special else list(self.word_ids(word))
                 found = " ".join(map(str, ids)), self.library_text(ids), len(ids)
-            if len(piece) > 64:
-                return found
             if len(self.cache) >= self.limit:
                 self.old, self.cache = self.cache, {}
-            self.cache[piece] = found
+            self.cache[word] = found
         return found
 
+    def _long(self, word: str) -> Iterator[tuple[str, str, int]]:
+        """The same of a longer word, in blocks of ids."""
+        ids = self.word_ids(word)
+        while some := list(itertools.islice(ids, BLOCK)):
+            yield " ".join(map(str, some)), self.library_text(some), len(some)
+
     def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of tokens, hash of the ids, hash of the decoded text; hashes are fed in blocks of words."""
+        """Number of tokens, hash of the ids, hash of the decoded text; hashes are fed in blocks."""
         n, a, b, known, glue = 0, hashlib.sha256(), hashlib.sha256(), self._known, ""
-        for part in self.specials.split(text) if self.specials else [text]:
-            special = part in self.special
-            if special:
-                words = [part]
-            else:
-                flat = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                words = self.words.findall(flat)
+        for special, words in self.parts(text):
             get = self.cache.get
-            for k in range(0, len(words), 4096):
+            for k in range(0, len(words), BLOCK):
                 got = []
-                for w in words[k : k + 4096]:
+                for w in words[k : k + BLOCK]:
                     x = get(w)
                     if x is None:
+                        if len(w) > LONG and not special:
+                            # what stands before it goes first
+                            for y in itertools.chain([tuple(map(" ".join, list(zip(*got, strict=True))[:2])) + (sum(g[2] for g in got),)] if got else [], self._long(w)):
+                                a.update((glue + y[0]).encode())
+                                b.update((glue + y[1]).encode("utf-8", "surrogatepass"))
+                                n, glue = n + y[2], " "
+                            got = []
+                            continue
                         x = known(special, w)
                         get = self.cache.get
                     got.append(x)
-                a.update((glue + " ".join([x[0] for x in got])).encode())
-                b.update((glue + " ".join([x[1] for x in got])).encode())
-                n += sum([x[2] for x in got])
-                glue = " "
+                if got:
+                    a.update((glue + " ".join([x[0] for x in got])).encode())
+                    b.update((glue + " ".join([x[1] for x in got])).encode("utf-8", "surrogatepass"))
+                    n += sum([x[2] for x in got])
+                    glue = " "
         return n, a.hexdigest(), b.hexdigest()
 
 

@@ -58,6 +58,26 @@ def discard_all(spark: SparkSession) -> None:
     _delete(spark, f"{shared_dir(spark)}/cellweave-{spark.sparkContext.applicationId}")
 
 
+def sample_rows(rows: DataFrame, max_rows: int, max_bytes: int) -> list:
+    """A bounded sample on the driver: of `rows` (cw_place, a hash; cw_text; others) those of the least places, at most `max_rows` of them
+    with at most `max_bytes` of text, in order of place and text. Rows that repeat count once."""
+    n = rows.count()
+    limit = int(min(1.0, 1.3 * max_rows / max(n, 1)) * (1 << 30))
+    near = rows.where(F.pmod("cw_place", F.lit(1 << 30)) <= limit).dropDuplicates()
+    sizes = sorted((r["cw_place"], r["size"]) for r in near.select("cw_place", F.octet_length("cw_text").alias("size")).toLocalIterator())[:max_rows]
+    if not sizes:
+        return []
+    within = int(np.searchsorted(np.cumsum([s for _, s in sizes]), max_bytes, side="right"))
+    found = near.where(F.col("cw_place") <= sizes[min(within, len(sizes) - 1)][0])
+    out, held = [], 0
+    for r in sorted(found.toLocalIterator(), key=lambda r: (r["cw_place"], r["cw_text"]))[:max_rows]:
+        held += len(r["cw_text"].encode("utf-8", "surrogatepass"))
+        if held > max_bytes and out:
+            break
+        out.append(r)
+    return out
+
+
 def slices(texts: list[str], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about `most` characters; a longer text is a range of its own and stays whole."""
     start = size = 0

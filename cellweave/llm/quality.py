@@ -4,12 +4,13 @@ A text's features are the shares of its words that fall into each of `buckets` h
 statistics, and the metadata columns named in `metadata` (hashed values; none by default). The machine scores
 w0 + sum(w x) + 1/2 sum_f((sum v_f x)^2 - sum v_f^2 x^2): pairwise interactions in time linear in the features.
 
-Fitting uses a bounded sample (`max_rows` labelled rows, those of the smallest hash of their id). Scoring covers every
+Fitting uses a bounded sample (`max_rows` labelled rows with `max_bytes` of text, those of the smallest hash of their id). Scoring covers every
 whole text in blocks of rows.
 
 Defined results: null and empty texts are scored from their (zero) statistics, so they have a score between 0 and 1 as
 all others do. Rows with a null label are not learnt from. With no labelled rows, or one label only, every score is the
-share of label 1 (0.5 if there is none). Repeated rows repeat their score; columns other than `keep` are ignored.
+share of label 1 (0.5 if there is none). Null metadata is a value of its own. Repeated rows repeat their score and are learnt from once; columns
+other than `keep` are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, slices
+from .common import Words, mix, sample_rows, slices
 
 STATS = 14
 
@@ -139,11 +140,9 @@ class QualityModel:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def fit(train: DataFrame, label: str, text: str = "text", id_col: str = "doc_id", metadata: tuple[str, ...] = (), max_rows: int = 4000, buckets: int = 1 << 15, rank: int = 8, epochs: int = 12, rate: float = 0.15, decay: float = 1e-5) -> QualityModel:
+def fit(train: DataFrame, label: str, text: str = "text", id_col: str = "doc_id", metadata: tuple[str, ...] = (), max_rows: int = 4000, max_bytes: int = 64 << 20, buckets: int = 1 << 15, rank: int = 8, epochs: int = 12, rate: float = 0.15, decay: float = 1e-5) -> QualityModel:
     rows = train.where(F.col(label).isin(0, 1)).select(F.xxhash64(F.col(id_col).cast("string")).alias("cw_place"), F.coalesce(F.col(text), F.lit("")).alias("cw_text"), F.col(label).cast("int").alias("cw_label"), *[F.col(m).cast("string").alias(f"cw_meta{k}") for k, m in enumerate(metadata)])
-    n = rows.count()
-    limit = min(1.0, 1.3 * max_rows / max(n, 1))
-    found = sorted(rows.where(F.pmod("cw_place", F.lit(1 << 30)) <= int(limit * (1 << 30))).collect(), key=lambda r: (r["cw_place"], r["cw_text"]))[:max_rows]
+    found = sample_rows(rows, max_rows, max_bytes)
     y = np.array([r["cw_label"] for r in found], np.float32)
     if not len(y) or y.min() == y.max():
         return QualityModel(None, float(y.mean()) if len(y) else 0.5, buckets, metadata)

@@ -28,8 +28,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = quality.fit(_labelled(spark, sf_dir, "quality").where(fold("doc_id", 4) != 2), "quality")
-    found = quality.score(table(spark, sf_dir, "documents"), model, ["doc_id"])
+    docs = table(spark, sf_dir, "documents").withColumn("size", F.floor(F.log2(F.col("n_chars") + 1)))
+    train = table(spark, sf_dir, "labels").select("doc_id", "quality").join(docs.select("doc_id", "text", "size"), "doc_id")
+    model = quality.fit(train.where(fold("doc_id", 4) != 2), "quality", metadata=("size",))
+    found = quality.score(docs, model, ["doc_id"])
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 

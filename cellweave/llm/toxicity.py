@@ -8,11 +8,12 @@ text. Other stretches have lattices of one path, which are left as they are.
 The restored text's words and word beginnings are scored by logistic regression over those that labelled toxic texts
 hold markedly more often.
 
-Fitting uses a bounded sample of labelled rows (`max_rows`, those of the smallest hash of their id); the trigram counts
-cover all rows. Scoring covers whole texts.
+Fitting uses a bounded sample of labelled rows (`max_rows` with `max_bytes` of text, those of the smallest hash of their id); the trigram counts
+cover all rows. Scoring covers whole texts. Lattices know the Latin letters of `LETTERS`; other letters pass as they are.
 
 Defined results: null and empty texts get the score of a text without words. Rows without a label are not learnt from;
-without both labels every score is the share of label 1 (0 with no rows). Repeated rows repeat their score.
+without both labels every score is the share of label 1 (0 with no rows). Repeated rows repeat their score and are learnt from once. Of equally
+cheap readings the one found first stands. An empty table gives no rows; extra columns are dropped unless in `keep`.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, PLACE_CODE, Words, mix, slices
+from .common import BYTE_CODE, PLACE_CODE, Words, mix, sample_rows, slices
 
 #: Letters of the trigram model; all else is a word's edge. Fixed values.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
@@ -215,14 +216,13 @@ def learn(counts: np.ndarray, texts: list[str], y: np.ndarray, most: int = 1500,
     return ToxicityModel(counts, every[chosen], weights, size_weight, bias)
 
 
-def fit(docs: DataFrame, train: DataFrame, label: str, text: str = "text", id_col: str = "doc_id", max_rows: int = 5000) -> ToxicityModel:
+def fit(docs: DataFrame, train: DataFrame, label: str, text: str = "text", id_col: str = "doc_id", max_rows: int = 5000, max_bytes: int = 64 << 20) -> ToxicityModel:
     """`docs`: all texts, for the character model; `train`: rows with `label`."""
     counts = np.zeros(WIDE**3, np.int64)
     for r in trigram_counts(docs, text).toLocalIterator():
         counts[r["gram"]] = r["n"]
     rows = train.where(F.col(label).isin(0, 1)).select(F.xxhash64(F.col(id_col).cast("string")).alias("cw_place"), F.coalesce(F.col(text), F.lit("")).alias("cw_text"), F.col(label).cast("int").alias("cw_label"))
-    limit = min(1.0, 1.3 * max_rows / max(rows.count(), 1))
-    found = sorted(rows.where(F.pmod("cw_place", F.lit(1 << 30)) <= int(limit * (1 << 30))).collect(), key=lambda r: (r["cw_place"], r["cw_text"]))[:max_rows]
+    found = sample_rows(rows, max_rows, max_bytes)
     return learn(counts, [r["cw_text"] for r in found], np.array([r["cw_label"] for r in found], np.float64))
 
 

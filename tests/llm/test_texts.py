@@ -290,6 +290,34 @@ def test_tokens_match_the_library(spark, odd):
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
 
 
+def test_tokens_do_not_depend_on_pieces():
+    """Documents of many pieces, words of many blocks, combining marks after spaces: as the library gives them."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.tokenizer_path())
+    library.no_truncation()
+    library.no_padding()
+    tool, rng = bpe.WordBpe(queries.tokenizer_path()), random.Random(19)
+    words = ["e\u0301te", " \u0301", "\n\u0327c", "A\u030a", "ΣΑΣ", "<|endoftext|>", "...!!", "1234", "don't", "漢字", "\u2028", "\t"]
+    texts = [" ".join(rng.choice(words) for _ in range(40_000)), "x" + "".join(rng.choice("etaoin") for _ in range(90_000)) + " end", "".join(rng.choice("é\u0301a ") for _ in range(70_000)), " " * 200_000, "!" * 70_000]
+    for text in texts:
+        ids = library.encode(text, add_special_tokens=False).ids
+        n, a, b = tool.digest(text)
+        assert (n, a) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert b == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert max(map(len, tool._flat("ab " * 100_000))) <= bpe.PIECE + 3
+
+
+def test_decoder_waits_for_whole_characters():
+    tool = bpe.WordBpe(queries.tokenizer_path())
+    ids = list(tool.ids("naïve 漢 😀 end"))
+    d = bpe.Decoder(tool.string, tool.suffix)
+    said = [d.feed(i) for i in ids]
+    assert "".join(said) + d.close() == "naïve 漢 😀 end " and "\ufffd" not in "".join(said)
+    assert d.feed(10**9) == "" and d.close() == ""
+    assert bpe.Decoder({0: "ð"}, "").all([0]) == "\ufffd"
+
+
 def test_streaming_encoder_is_bounded():
     tool = bpe.WordBpe(queries.tokenizer_path())
     rng = random.Random(4)
@@ -363,6 +391,31 @@ def test_quality_with_metadata(spark, labelled):
     assert quality.score(labelled, model, ["doc_id"]).count() == 303
 
 
+def test_empty_tables_and_long_texts(spark, labelled):
+    """Scorers on an empty table give no rows; on a very long text they give a score of the whole of it."""
+    rng, empty = random.Random(41), table(spark, [])
+    long = table(spark, [(1, prose(rng, 60_000)), (2, prose(rng, 60_000) + " idiot moron scum" * 9000), (3, " ".join(w + "###" for w in prose(rng, 50_000).split()))])
+    tox, good, lang = toxicity.fit(labelled, labelled, "toxic"), quality.fit(labelled, "good"), langid.fit(labelled)
+    assert toxicity.score(empty, tox, ["doc_id"]).count() == quality.score(empty, good, ["doc_id"]).count() == langid.identify(empty, lang, ["doc_id"]).count() == bpe.encode_documents(empty, queries.tokenizer_path(), ["doc_id"]).count() == 0
+    a = {r.doc_id: r.score for r in toxicity.score(long, tox, ["doc_id", "key"]).collect()}
+    assert a[2] > 0.5 and a[2] > a[1]
+    b = {r.doc_id: r.score for r in quality.score(long, good, ["doc_id"]).collect()}
+    assert b[3] < b[1]
+    assert [r.lang_pred for r in langid.identify(long.limit(1), lang, ["doc_id"]).collect()] == ["en"]
+    nobody = labelled.where("false")
+    assert max(r.score for r in toxicity.score(long, toxicity.fit(nobody, nobody, "toxic"), ["doc_id"]).collect()) < 1e-8
+
+
+def test_sample_is_bounded(spark):
+    from cellweave.llm.common import sample_rows
+
+    rows = spark.range(400).select(F.xxhash64("id").alias("cw_place"), F.repeat(F.lit("é"), 100).alias("cw_text")).withColumn("x", F.lit(1))
+    every = sorted(r.cw_place for r in rows.collect())
+    assert len(sample_rows(rows, 1000, 1 << 20)) == 400 and len(sample_rows(rows.union(rows), 1000, 1 << 20)) == 400
+    assert len(sample_rows(rows, 30, 1 << 20)) == 30 and len(sample_rows(rows, 1000, 2100)) == 10
+    assert [r.cw_place for r in sample_rows(rows, 1000, 2100)] == every[:10] and sample_rows(rows.where("false"), 10, 10) == []
+
+
 def test_pairwise_identity():
     """Scores by the identity equal the sum over pairs."""
     b = quality.Batch(["a b c a", "x y"], 64)
