@@ -202,6 +202,33 @@ def test_simhash(spark, odd):
     assert one.edited_sha256 == hashlib.sha256(b"a b a b").hexdigest() and (one.next_high, one.next_low) == (one.high, one.low)
 
 
+def plain_print(text):
+    """SimHash by its definition: one vote a bit and term, in whole numbers."""
+    import xxhash
+
+    words = [w for w in re.split(r"[^\w]|_", text.lower()) if w]
+    pairs = [(w, "") for w in words] if len(words) <= 1 else list(zip(words, words[1:], strict=False))
+    votes, total = [0] * 128, 0
+    for a, b in pairs:
+        seed = xxhash.xxh64_intdigest(b.encode(), xxhash.xxh64_intdigest(a.encode(), 42))
+        weight = 1 if len(a + b) <= 6 else 2 if len(a + b) <= 12 else 3
+        term = ((seed & ~7) | weight * 2).to_bytes(8, "little")
+        high = xxhash.xxh64_intdigest(term, 42)
+        low = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), high)
+        total += weight
+        for k in range(64):
+            votes[k] += weight * (high >> k & 1)
+            votes[64 + k] += weight * (low >> k & 1)
+    return sum(1 << k for k in range(64) if 2 * votes[k] > total), sum(1 << k for k in range(64) if 2 * votes[64 + k] > total)
+
+
+def test_simhash_matches_plain_votes(spark, odd):
+    rows = [(k, t) for k, (_, t) in enumerate(odd)] + [(50, "a b " * 30_000), (51, "éà ß 漢字 x1 2y")]
+    got = {r.doc_id: (r.high % (1 << 64), r.low % (1 << 64)) for r in simhash.fingerprints(table(spark, rows)).collect()}
+    for k, t in rows:
+        assert got[k] == plain_print(t or ""), t and t[:40]
+
+
 def test_simhash_long_text_votes(spark):
     """Votes in several runs give the same print as one sum would."""
     text = " ".join(f"w{k % 50}" for k in range(25_000))
@@ -377,6 +404,37 @@ def test_language(spark, labelled):
     assert {r.lang_pred for r in langid.identify(labelled, none, ["doc_id"]).collect()} == {"und"}
 
 
+def test_language_matches_plain_compression(spark, labelled):
+    """Each text against each dictionary, one by one."""
+    import zstandard
+
+    model = langid.fit(labelled.where("doc_id % 4 <> 2"))
+    raws = {r.doc_id: r.t for r in labelled.select("doc_id", langid.normal(F.col("text")).alias("t")).collect()}
+    for r in langid.identify(labelled, model, ["doc_id"]).collect():
+        if not raws[r.doc_id]:
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        sizes = {}
+        for name, raw in model.dictionaries.items():
+            tool = zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+            sizes[name] = len(tool.compress(raws[r.doc_id].encode()))
+        best = min(sizes.values())
+        margin = sorted(sizes.values())[1] - best
+        assert sizes[r.lang_pred] == best and r.margin_bytes == margin and r.rejected == (margin < model.margin)
+
+
+def test_language_dictionaries(spark):
+    """Any part of a text can be learnt from, short languages too; ties are rejected and go to the larger language."""
+    late = "zebra quagga okapi " * 50
+    rows = [(k, "padding " * 400 + late, "xx") for k in range(6)] + [(10 + k, "ab", "yy") for k in range(6)] + [(20 + k, "12 34", "zz") for k in range(6)]
+    model = langid.fit(table(spark, []).select("doc_id", "text", "lang").union(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert set(model.dictionaries) == {"xx", "yy"} and b"quagga" in model.dictionaries["xx"] and 8 <= len(model.dictionaries["yy"]) < 64
+    assert 1 <= model.margin <= 3
+    twin = langid.LanguageModel({"a": b"one two three four", "b": b"one two three four"}, {"b": 2, "a": 1})
+    got = langid.identify(table(spark, [(1, "one two three")]), twin, ["doc_id"]).first()
+    assert (got.lang_pred, got.margin_bytes, got.rejected, got.score) == ("b", 0, True, 0.5)
+
+
 def test_quality(spark, labelled):
     model = quality.fit(labelled.where("doc_id % 4 <> 2"), "good")
     got = quality.score(labelled, model, ["doc_id", "good"]).collect()
@@ -445,6 +503,36 @@ def test_restoration(spark, labelled):
     assert c.text("an 1d10t m0ron").startswith("an idiot moron ") and c.restore("scuuuum")[0] == "scum" and c.text("plain words, here.") == "plain words, here."
 
 
+def test_restoration_is_the_cheapest_path():
+    """Viterbi against all paths of short lattices."""
+    rng = random.Random(22)
+    counts = np.random.default_rng(22).integers(0, 50, toxicity.WIDE**3)
+    c = toxicity.Channel(counts)
+
+    def paths(stretch, k=0, a=0, b=0, was=""):
+        if k == len(stretch):
+            yield float(c.model[a, b, 0]), ""
+            return
+        ch = stretch[k]
+        between = 0 < k < len(stretch) - 1 and ch in " .-_*"
+        ways = [(ch, toxicity.COST_PART if between else 0.0 if ch in toxicity.PLACE else toxicity.COST_LEAVE)] + [(o, toxicity.COST_SIGN) for o in toxicity.LEET.get(ch, "")]
+        ways += [("", toxicity.COST_DROP)] * (was == ch and ch in toxicity.PLACE) + [("", toxicity.COST_JOIN)] * between
+        for o, x in ways:
+            p = toxicity.PLACE.get(o, 0)
+            more = x + (float(c.model[a, b, p]) if o else 0.0)
+            for cost, rest in paths(stretch, k + 1, *((b, p) if o else (a, b)), ch):
+                yield cost + more, o + rest
+
+    for _ in range(60):
+        stretch = "".join(rng.choice("abo011$@. -eel") for _ in range(rng.randint(1, 7)))
+        every: dict[str, float] = {}
+        for cost, reading in paths(stretch):
+            every[reading] = min(cost, every.get(reading, cost))
+        got = c.restore(stretch)
+        assert abs(every[got[0]] - min(every.values())) < 1e-4, (stretch, got)
+        assert [every[r] for r in got] == sorted(every[r] for r in got)
+
+
 def test_licenses(spark):
     rows = [(1, "x\nLicensed under the Apache License, Version 2.0.\ny"), (2, "Released under the MIT License.\nReleased under the MIT License."), (3, None), (4, ""), (5, "Nothing about terms."), (6, "licensed under the apache license version 2.0"), (7, "A licence to fish in the river by the old mill."), (8, "Licensed under CC BY-NC 4.0.###"), (9, "This work is licensed under the GNU General Public License, version 2.")]
     got = Counter((r.doc_id, r.license) for r in licenses.scan(table(spark, rows), ["doc_id"]).collect())
@@ -486,6 +574,55 @@ def test_leaks(spark):
     assert decontaminate.leaks(table(spark, []), bench).count() == 0
 
 
+def test_leaks_against_all_pairs(spark):
+    """Paraphrases with more and more words replaced, dropped or moved: candidate search loses few that the check would take, and finds no others."""
+    rng = random.Random(17)
+    items = [(k, prose(rng, rng.randint(20, 55))) for k in range(40)]
+    docs = []
+    for k in range(240):
+        words = prose(rng, rng.randint(40, 160)).split()
+        leaked = items[k % 40][1].split()
+        for _ in range(int(len(leaked) * (k % 6) / 10)):
+            at = rng.randrange(len(leaked))
+            if k % 3 == 0:
+                leaked[at] = prose(rng, 1)
+            elif k % 3 == 1 and len(leaked) > 5:
+                del leaked[at]
+            else:
+                leaked.insert(rng.randrange(len(leaked)), leaked.pop(at))
+        at = rng.randrange(len(words))
+        words[at:at] = leaked
+        docs.append((k, " ".join(words)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = table(spark, docs)
+    items_ = decontaminate.Items([i for i, _ in items], [t for _, t in items], 16)
+    weights = decontaminate.fit(rows, items_)
+    want = set()
+    for d, text in docs:
+        p = decontaminate.Passages([text], items_.terms, 16)
+        number = np.full(len(p.codes), -1)
+        number[p.at] = p.all_terms
+        for i, words in zip(items_.ids, items_.words, strict=True):
+            own = weights.idf[words]
+            whole = decontaminate.common_weight(number, words, own) / own.sum()
+            tail = decontaminate.common_weight(number, words[-5:], own[-5:]) / own[-5:].sum()
+            if whole >= 0.6 or whole >= 0.45 and tail >= 0.8:
+                want.add((d, i))
+    got = {(r.doc_id, r.item) for r in decontaminate.leaks(rows, bench).collect()}
+    print(f"leaks by all pairs: {len(want)}, found: {len(got & want)}, others: {len(got - want)}")
+    assert len(got & want) >= 0.9 * len(want) > 100 and got <= want
+    assert got == {(r.doc_id, r.item) for r in decontaminate.leaks(rows, bench, block=7, pass_bytes=1).collect()}
+
+
+def test_leaks_of_repeated_items(spark):
+    rng = random.Random(18)
+    item = prose(rng, 40)
+    bench = spark.createDataFrame([(1, item), (1, item), (2, item)], "item_id long, text string")
+    docs = [(5, prose(rng, 50) + " " + item), (5, prose(rng, 50) + " " + item), (None, item + " and " + item), (6, prose(rng, 20_000) + " " + item + " " + prose(rng, 20_000))]
+    got = Counter((r.doc_id, r.item) for r in decontaminate.leaks(table(spark, docs), bench).collect())
+    assert got == Counter({(5, 1): 2, (5, 2): 2, (None, 1): 1, (None, 2): 1, (6, 1): 1, (6, 2): 1})
+
+
 def test_leaks_of_long_items(spark):
     """Items of 200 to 600 words that stand word for word in a document, or with a tenth of their words replaced."""
     rng = random.Random(13)
