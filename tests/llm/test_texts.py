@@ -550,6 +550,53 @@ def test_licenses_wrapped_and_among_text(spark):
     assert got == Counter([(1, 2, "MIT"), (2, 0, "GPL-3.0"), (3, 0, "BSD-3-Clause"), (4, 0, "Proprietary"), (5, 0, "MIT"), (6, 0, "GPL-3.0"), (7, 0, "Proprietary"), (7, 0, "Apache-2.0"), (7, 0, "CC-BY-4.0"), (8, 0, "Apache-2.0")])
 
 
+def test_alignment_is_a_longest_common_subsequence():
+    rng = random.Random(51)
+    for _ in range(200):
+        a, b = ([rng.randrange(5) for _ in range(rng.randint(1, 14))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        places, gone = licenses.aligned(np.array(a), np.array(b))
+        assert len(places) == best[-1][-1] and places == sorted(set(places)) and len(places) + len(gone) == len(a)
+        assert [b[p] for p in places] == [x for i, x in enumerate(a) if i not in gone]
+
+
+def test_licenses_planted(spark):
+    """Every template, wrapped at many widths behind comment signs and among prose, whole or with a tenth of its words lost; and texts without any."""
+    rng, rows, want = random.Random(52), [], Counter()
+    for name, texts in sorted(licenses.TEMPLATES.items()):
+        for text in texts:
+            for lost in (False, True):
+                w = text.split()
+                if lost and len(w) < 20:
+                    continue
+                for _ in range(len(w) // 12 if lost else 0):
+                    at = rng.randrange(1, len(w) - 1)
+                    if not any(c.isdigit() for c in w[at]):
+                        del w[at]
+                sign, wide = rng.choice(("", "# ", " * ", "// ")), rng.randint(6, 16)
+                body = "\n".join(sign + " ".join(w[k : k + wide]) for k in range(0, len(w), wide))
+                k = len(rows)
+                rows.append((k, prose(rng, rng.randint(0, 60)) + "\n" + body + "\n" + prose(rng, rng.randint(0, 60))))
+                want[k, name] += 1
+    clean = ["The licence to drive was renewed; permission is hereby a word like any other.", "Free software is a matter of liberty, and copyright law is older than software.", "all rights of way are reserved for walkers", "redistribution and use of water in the valley", "Creative commons are shared pastures."]
+    rows += [(1000 + k, prose(rng, 30) + " " + t + " " + prose(rng, 30)) for k, t in enumerate(clean)]
+    got = Counter((r.doc_id, r.license) for r in licenses.scan(table(spark, rows), ["doc_id"]).collect())
+    right = sum((got & want).values())
+    print(f"licenses planted {sum(want.values())}, found {right}, others {sum((got - want).values())}")
+    assert right >= 0.97 * sum(want.values()) and sum((got - want).values()) <= 0.03 * sum(want.values())
+    assert not [k for k, _ in got if k >= 1000]
+
+
+def test_licenses_in_long_lines(spark):
+    rng = random.Random(53)
+    rows = [(1, prose(rng, 150_000) + " Licensed under the Apache License, Version 2.0."), (2, "This work is licensed under the GNU General Public License, version 2. " * 400)]
+    got = Counter((r.doc_id, r.license) for r in licenses.scan(table(spark, rows), ["doc_id"]).collect())
+    assert got == Counter({(1, "Apache-2.0"): 1, (2, "GPL-2.0"): 400})
+
+
 def test_leaks(spark):
     rng = random.Random(11)
     items = [(k, prose(rng, rng.randint(15, 50))) for k in range(12)]
