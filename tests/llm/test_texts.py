@@ -85,6 +85,59 @@ def test_induced_order():
             assert c == m
 
 
+def test_suffix_types_in_parts():
+    from cellweave.llm.induced import _types
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 40, 300):
+        text = rng.integers(0, 3, n).astype(np.int16) if n != 40 else np.zeros(40, np.int16)
+        whole = _types(text, 1 << 20)
+        for most in (1, 3, 7):
+            assert all((a == b).all() for a, b in zip(whole, _types(text, most), strict=True))
+        t = text.tolist()
+        assert whole[0].tolist() == [t[k:] < t[k + 1 :] for k in range(n)] and int(whole[1][-1]) == 1
+
+
+def test_suffix_shard_memory():
+    """A shard of many different pieces of one anchor: what its task takes, and the same spans whether queues spill or not."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    n = 3000
+    body = rng.integers(97, 123, (n, 160), dtype=np.uint8)
+    body[:, 72:88] = rng.integers(97, 123, 16, dtype=np.uint8)
+    body[1::2, 30:] = body[::2, 30:]
+    head = np.zeros(n, suffix.HEAD)
+    head["anchor"], head["doc"], head["key"], head["size"] = 7, np.arange(n), np.arange(n), 160
+    got = []
+    for memory in (1 << 28, 1 << 14):
+        tracemalloc.start()
+        got.append(sorted(tuple(x) for found in suffix._judge(head, body.reshape(-1), 100, memory) for x in np.stack(found, 1).tolist()))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        print(f"shard of {body.nbytes} bytes, queues of {memory}: peak {peak} bytes, {peak / body.nbytes:.0f} times")
+    assert got[0] == got[1] and len(got[0]) == n // 2 and all(s[:2] == (2 * k + 1, 2 * k + 1) and s[2] <= 30 and s[3] == 160 for k, s in enumerate(got[0]))
+    assert peak < 80 * body.nbytes
+
+
+def test_suffix_long_texts_are_cut(spark):
+    """Texts of many stretches, of one repeated word, and repeats that lie across stretches' ends."""
+    rng = random.Random(61)
+    a = prose(rng, 40_000)
+    rows = [(1, a), (2, prose(rng, 50) + a[131_000:131_500] + prose(rng, 50)), (3, "The " * 60_000), (4, "x" + "The " * 500)]
+    got = {r.doc_id: tuple(r)[1:] for r in suffix.remove(table(spark, rows)).collect()}
+    seen = set()
+    for doc, text in rows:
+        raw = text.encode()
+        gone = bytearray(len(raw))
+        for s in range(len(raw) - 99):
+            if raw[s : s + 100] in seen:
+                gone[s : s + 100] = b"\1" * 100
+            seen.add(raw[s : s + 100])
+        kept = bytes(c for c, g in zip(raw, gone, strict=True) if not g)
+        assert got[doc] == (len(raw), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest()), doc
+
+
 def test_jaccard_classes_and_links(spark, odd):
     sets = {}
     for doc, text in odd:
