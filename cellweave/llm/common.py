@@ -20,6 +20,18 @@ def fold(id_col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % modulus
 
 
+def unused(table: DataFrame, *names: str) -> list[str]:
+    """Names for columns beside those of `table`."""
+    taken = {c.lower() for c in table.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Where none is named, a temporary one is set, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("cellweave.shared.dir", None)

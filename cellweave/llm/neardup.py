@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, shingle_sets, slices
+from .common import materialise, mix, shingle_sets, slices, unused
 from .graph import components
 
 KEY_BYTES = 12
@@ -61,14 +61,19 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def row_key(id_col: str, text: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text)).alias("row_key")
+
+
 def _sets(docs: DataFrame, id_col: str, text: str, width: int, bands: int, rows: int) -> DataFrame:
-    """doc, set_key (null without words); and code, size, bands, packed (the text) where the same task has not just met the set."""
+    """doc, row_key (hash of id and text), set_key (null without words); and code, size, bands, packed (the text) where the same task has not just
+    met the set."""
 
     def run(batches):
         met: set[bytes] = set()
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(2).to_pylist()]
             keys, hashes, sizes, bodies = [], [], [], []
             for a, z in slices(texts):
                 sets = shingle_sets(texts[a:z], width)
@@ -86,10 +91,10 @@ def _sets(docs: DataFrame, id_col: str, text: str, width: int, bands: int, rows:
                 sizes += [len(s) for s in sets]
                 bodies += [press.compress(texts[a + k].encode("utf-8", "surrogatepass")) if k in got else None for k in range(len(sets))]
             codes = [None if h is None else int(key[:16], 16) - (1 << 63) for key, h in zip(keys, hashes, strict=True)]
-            columns = [ids, pa.array(keys, pa.string()), pa.array(codes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(bodies, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "set_key", "code", "size", "bands", "packed"])
+            columns = [batch.column(0), batch.column(1), pa.array(keys, pa.string()), pa.array(codes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(bodies, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "row_key", "set_key", "code", "size", "bands", "packed"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text)).mapInArrow(run, "doc long, set_key string, code long, size long, bands array<long>, packed binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), row_key(id_col, text), F.col(text).alias("text")).mapInArrow(run, "doc long, row_key long, set_key string, code long, size long, bands array<long>, packed binary")
 
 
 def similar(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> np.ndarray:
@@ -255,14 +260,43 @@ def _named(seen: DataFrame, classes: DataFrame) -> DataFrame:
     return linked.unionByName(sets.join(classes, sets["set_key"] == classes["node"], "left_anti").select("set_key", name("set_key")))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9999, rows: int = 6, block: int = 512, part_grams: int = 1 << 20) -> DataFrame:
-    """For each row: `id_col`, class_id, n_links (other texts with at least `threshold` in common), n_copies (rows of the same set)."""
+def _classes(docs: DataFrame, id_col: str, text: str, width: int, threshold: float, recall: float, rows: int, block: int, part_grams: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows' sets, the links found, and node, label of the sets that have links."""
     seen = materialise(_sets(docs, id_col, text, width, plan_bands(threshold, recall, rows), rows), "sets")
     found = materialise(links(seen, width, threshold, block, part_grams), "links")
+    return seen, found, components(found.select(F.col("set_key").alias("a"), F.col("least").alias("b")))
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9999, rows: int = 6, block: int = 512, part_grams: int = 1 << 20) -> DataFrame:
+    """For each row: `id_col`, class_id, n_links (other texts with at least `threshold` in common), n_copies (rows of the same set)."""
+    seen, found, classes = _classes(docs, id_col, text, width, threshold, recall, rows, block, part_grams)
     counts = found.groupBy("set_key").agg(F.sum("links").alias("n_links"))
-    classes = components(found.select(F.col("set_key").alias("a"), F.col("least").alias("b")))
     copies = seen.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.count("*").alias("n_copies"))
     of_set = copies.join(counts, "set_key", "left").join(_named(seen, classes), "set_key", "left")
     out = seen.select("doc", "set_key").join(of_set, "set_key", "left")
     known = F.when(F.col("set_key").isNull(), F.col("doc")).otherwise(F.col("class_id"))
     return out.select(F.col("doc").cast(docs.schema[id_col].dataType).alias(id_col), known.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9999, rows: int = 6, block: int = 512, part_grams: int = 1 << 20) -> DataFrame:
+    """One row of each class, with all columns of `docs`: that of the least id (null last), then of the least hash of id and text; of rows
+    that repeat it, one. Rows without words stay as they are."""
+    seen, _, classes = _classes(docs, id_col, text, width, threshold, recall, rows, block, part_grams)
+    worded = seen.where(F.col("set_key").isNotNull()).select("doc", "row_key", "set_key")
+    labelled = worded.join(classes, worded["set_key"] == classes["node"], "left").select("doc", "row_key", F.coalesce("label", "set_key").alias("class"))
+    first = labelled.groupBy("class").agg(F.min(F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "row_key")).alias("first"))
+    own_id, own_row, its_id, its_row = unused(docs, "id", "row", "first_id", "first_row")
+    # how often the chosen row stands in the table: the rest of its repeats go
+    chosen = first.select(F.col("first.doc").alias(its_id), F.col("first.row_key").alias(its_row))
+    often = labelled.groupBy("doc", "row_key").agg(F.count("*").alias("n")).where("n > 1")
+    again = materialise(chosen.join(often, chosen[its_id].eqNullSafe(often["doc"]) & (chosen[its_row] == often["row_key"])).select(its_id, its_row), "repeated")
+    keyed = docs.withColumns({own_id: F.col(id_col).cast("long"), own_row: row_key(id_col, text)})
+    same = F.col(own_id).eqNullSafe(F.col(its_id)) & (F.col(own_row) == F.col(its_row))
+    has_word = F.coalesce(F.col(text).rlike(r"[0-9A-Za-z_]|[^\x00-\x7F]"), F.lit(False))
+    kept = keyed.where(has_word).join(chosen, same, "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    out = docs.where(~has_word)
+    if again.isEmpty():
+        return out.unionByName(kept.select(*columns))
+    once = kept.join(again, same, "left_semi").groupBy(own_id, own_row).agg(F.first(F.struct(*columns)).alias(f"{own_row}_all")).select(f"{own_row}_all.*")
+    return out.unionByName(kept.join(again, same, "left_anti").select(*columns)).unionByName(once)

@@ -197,6 +197,25 @@ def test_jaccard_null_and_repeated_ids(spark):
     assert null_class == of_c < 0 and of_c not in of_7
 
 
+def test_one_row_of_each_class_stays(spark, odd):
+    """Whatever ids say: repeated rows, null ids, ids of several texts; extra columns stay."""
+    rng = random.Random(32)
+    a, b = prose(rng, 90), prose(rng, 90)
+    rows = [*odd, (20, a), (20, b), (21, a + " more"), (None, b), (None, "only null"), (None, "only null"), (22, "é"), (22, "é")]
+    docs = table(spark, rows)
+    got = neardup.representatives(docs)
+    assert got.columns == docs.columns
+    texts = [r.text for r in got.collect()]
+    every = [shingles(t) for _, t in rows]
+    wordless = [t for _, t in rows if not shingles(t)]
+    assert Counter(t for t in texts if not shingles(t)) == Counter(wordless)
+    kept = [shingles(t) for t in texts if shingles(t)]
+    assert all(len(x & y) < 0.8 * len(x | y) for i, x in enumerate(kept) for y in kept[:i])
+    assert all(any(len(s & k) >= 0.8 * len(s | k) for k in kept) for s in every if s)
+    assert {(r.doc_id, r.text) for r in got.collect() if r.text in (a, b, a + " more")} == {(20, a), (20, b)}
+    assert neardup.representatives(table(spark, [])).count() == 0
+
+
 @pytest.mark.parametrize(("block", "part_grams"), [(8, 1 << 20), (512, 300), (512, 1 << 20)])
 def test_jaccard_parts_do_not_matter(spark, block, part_grams):
     """Chains of copies of copies: classes and links are those of all pairs, however the groups are cut, but for what banding misses."""
