@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, unused
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"(AKIA[A-Z0-9]+)"
@@ -118,8 +118,9 @@ def scan(docs: DataFrame, keep: list[str], repository: str = "doc_id", owner: st
 def redact(docs: DataFrame, repository: str = "doc_id", owner: str = "source", id_col: str = "doc_id", text: str = "text", max_owners: int | None = None, mark: str = "[SECRET]") -> DataFrame:
     """`docs` with the live-looking spans of each text replaced by `mark`; widely copied examples stay."""
     found = materialise(candidates(docs, [], repository, owner, id_col, text), "secrets")
-    live = judged(found, max_owners).where("live").groupBy(*ROW).agg(F.array_sort(F.collect_list(F.struct("s.start", "s.end"))).alias("cw_live"))
-    keyed = docs.select("*", *row_key(docs, id_col, text)).join(live, ROW, "left")
+    own_id, own_key, cut = unused(docs, "id", "key", "live")
+    live = judged(found, max_owners).where("live").groupBy(*ROW).agg(F.array_sort(F.collect_list(F.struct("s.start", "s.end"))).alias(cut)).withColumnsRenamed({ROW[0]: own_id, ROW[1]: own_key})
+    keyed = docs.withColumns(dict(zip((own_id, own_key), row_key(docs, id_col, text), strict=True))).join(live, [own_id, own_key], "left")
     body = F.col(text)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -128,5 +129,5 @@ def redact(docs: DataFrame, repository: str = "doc_id", owner: str = "source", i
         more = F.concat(acc["out"], F.array(F.substring(body, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark)))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(more).alias("out"))
 
-    clean = F.aggregate("cw_live", start, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(body, (acc["at"] + 1).cast("int"), F.length(body)))), ""))
-    return keyed.select(*[F.when(F.col("cw_live").isNull(), body).otherwise(clean).alias(text) if c == text else F.col(c) for c in docs.columns])
+    clean = F.aggregate(cut, start, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(body, (acc["at"] + 1).cast("int"), F.length(body)))), ""))
+    return keyed.select(*[F.when(F.col(cut).isNull(), body).otherwise(clean).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])

@@ -4,13 +4,14 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
 from cellweave.llm import queries
 
-from .test_texts import EN, FR, prose, shingles
+from .test_texts import CLASHES, EN, FR, prose, shingles
 
 
 @pytest.fixture(scope="module")
@@ -63,6 +64,24 @@ def test_pipeline(spark, folder):
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()), text
 
 
+def test_stages_on_odd_rows(spark, folder):
+    """Nulls in every column, empty and wordless texts, repeated rows, ids of several texts, clashing columns; and empty tables."""
+    path, items, docs = folder
+    rows = [(1, docs[1][1], "en", "s", 5), (1, docs[1][1], "en", "s", 5), (2, None, None, None, None), (None, docs[2][1], None, "s", 1), (3, "", "fr", "s", 0), (3, docs[4][1], None, None, None), (4, "12 !?", "en", "s", 3), (5, items[0][1], "en", "s", 9), (None, None, None, None, None)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("x") for c in CLASHES})
+    want = {"language": 6, "near_copies": 8, "benchmark_passages": 8, "secret_spans": 9, "tokens": 9}
+    many = spark.read.parquet(f"{path}/documents.parquet").withColumns({c: F.lit("x") for c in CLASHES})
+    for name, stage in corpus_pipeline.STAGES:
+        given = odd.unionByName(many) if name == "language" else odd
+        got = stage(spark, given, path).collect()
+        if name == "language":
+            left = [r for r in got if r.text in {t for _, t, *_ in rows if t}]
+            assert all(any(c.isalpha() for c in r.text or "") for r in got) and {r.text for r in left} >= {docs[1][1], docs[2][1]}
+        else:
+            assert len(got) == want[name], name
+        assert stage(spark, odd.where("false"), path).count() == 0, name
+
+
 def test_stages_keep_columns(spark, folder):
     path = folder[0]
     docs = spark.read.parquet(f"{path}/documents.parquet")
