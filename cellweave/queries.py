@@ -223,57 +223,36 @@ def dependency_index(spark: SparkSession, path: str) -> DataFrame:
 _add("dependency_index", dependency_index, f"WITH {REL} SELECT w2 AS head, 'amod' AS relation, w1 AS dependent, count(*) AS n FROM tok WHERE w1 <> 'new' AND w2 <> 'rod' GROUP BY ALL")
 
 
-def stitched(kind: str, n: int):
+def stitched(kind: str, n: int, make=corpus.relational_corpus, by: tuple[str, ...] = ("ngram", "type", "value")):
     def run(spark: SparkSession, path: str) -> DataFrame:
-        c = corpus.relational_corpus(spark, path)
-        notes = {"ner": lambda: c.table("entities").where("type = 'LOCATION'"), "date": lambda: c.table("dates").where("date < '1995-02-01'").withColumn("value", F.col("date")), "pos": lambda: c.table("tags").withColumnsRenamed({"tag": "type", "term": "value"})}[kind]()
-        return features.stitch(c.grams(n), notes, "DATE" if kind == "date" else None).groupBy("ngram", "type", "value").agg(F.count("*").alias("cells"))
+        c = make(spark, path)
+        notes = {"ner": lambda: c.table("entities"), "date": lambda: c.table("dates").withColumn("value", F.col("date")), "pos": lambda: c.table("tags").withColumnsRenamed({"tag": "type", "term": "value"})}[kind]()
+        return features.stitch(c.grams(n), notes, "DATE" if kind == "date" else None).groupBy(*by).agg(F.count("*").alias("cells"))
 
     return run
 
 
 _GRAM = {1: "SELECT DISTINCT document_id, sentence_id, term AS ngram FROM uni", 2: "SELECT DISTINCT document_id, sentence_id, name AS ngram FROM tok"}
-_NOTE = {"ner": "SELECT DISTINCT document_id, sentence_id, type, value FROM ent WHERE type = 'LOCATION'", "date": "SELECT DISTINCT document_id, sentence_id, 'DATE' AS type, CAST(d AS VARCHAR) AS value FROM line WHERE d < DATE '1995-02-01'", "pos": "SELECT DISTINCT document_id, sentence_id, tag AS type, term AS value FROM uni"}
+_NOTE = {"ner": "SELECT DISTINCT document_id, sentence_id, type, value FROM ent", "date": "SELECT DISTINCT document_id, sentence_id, 'DATE' AS type, CAST(d AS VARCHAR) AS value FROM line", "pos": "SELECT DISTINCT document_id, sentence_id, tag AS type, term AS value FROM uni"}
 for _kind in ("ner", "date", "pos"):
     for _n in (1, 2):
         _add(f"stitch_{_kind}" + "_bigram" * (_n == 2), stitched(_kind, _n), f"WITH {REL} SELECT ngram, type, value, count(*) AS cells FROM ({_GRAM[_n]}) JOIN ({_NOTE[_kind]}) USING (document_id, sentence_id) GROUP BY ALL")
 
 
 def stitch_consistency(spark: SparkSession, path: str) -> DataFrame:
-    c = corpus.relational_corpus(spark, path)
-    grams, notes = c.grams(1), c.table("entities").where("type = 'LOCATION'")
-    return features.stitch_faults(features.stitch(grams, notes), grams, notes).agg(F.count("*").alias("faults"))
-
-
-_add("stitch_consistency", stitch_consistency, "SELECT CAST(0 AS BIGINT) AS faults")
-
-
-def stitched_all(kind: str, n: int, make=corpus.relational_corpus):
-    """As `stitched`, over all annotations of the corpus."""
-
-    def run(spark: SparkSession, path: str) -> DataFrame:
-        c = make(spark, path)
-        notes = {"ner": lambda: c.table("entities"), "date": lambda: c.table("dates").withColumn("value", F.col("date")), "pos": lambda: c.table("tags").withColumnsRenamed({"tag": "type", "term": "value"})}[kind]()
-        return features.stitch(c.grams(n), notes, "DATE" if kind == "date" else None).groupBy("ngram", "type", "value").agg(F.count("*").alias("cells"))
-
-    return run
-
-
-def stitch_consistency_all(spark: SparkSession, path: str) -> DataFrame:
+    """Per type, how many stitched rows there are, and how many cells do not have the product of their n-grams and annotations."""
     c = corpus.relational_corpus(spark, path)
     grams, notes = c.grams(1), c.table("entities")
-    return features.stitch_faults(features.stitch(grams, notes), grams, notes).agg(F.count("*").alias("faults"))
+    made = features.stitch(grams, notes)
+    faults = features.stitch_faults(made, grams, notes).agg(F.count("*").alias("faults"))
+    return made.groupBy("type").agg(F.count("*").alias("rows")).join(F.broadcast(faults))
 
 
-_NOTE_ALL = {"ner": "SELECT DISTINCT document_id, sentence_id, type, value FROM ent", "date": "SELECT DISTINCT document_id, sentence_id, 'DATE' AS type, CAST(d AS VARCHAR) AS value FROM line"}
-for _kind in ("ner", "date"):
-    for _n in (1, 2):
-        _add(f"stitch_{_kind}_all" + "_bigram" * (_n == 2), stitched_all(_kind, _n), f"WITH {REL} SELECT ngram, type, value, count(*) AS cells FROM ({_GRAM[_n]}) JOIN ({_NOTE_ALL[_kind]}) USING (document_id, sentence_id) GROUP BY ALL")
-_add("stitch_consistency_all", stitch_consistency_all, "SELECT CAST(0 AS BIGINT) AS faults")
+_add("stitch_consistency", stitch_consistency, f"WITH {REL}, g AS (SELECT document_id, sentence_id, count(DISTINCT term) AS n FROM uni GROUP BY ALL), e AS (SELECT document_id, sentence_id, type, count(DISTINCT value) AS n FROM ent GROUP BY ALL) SELECT type, CAST(sum(g.n * e.n) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS faults FROM g JOIN e USING (document_id, sentence_id) GROUP BY type")
 # names of parts have two words, so three stand in the text corpus only, whose annotator knows dates and tags
 _NOTE_TXT = {"date": "SELECT DISTINCT document_id, sentence_id, 'DATE' AS type, term || '-01-01' AS value FROM tok WHERE regexp_full_match(term, '19[2-9][0-9]|20[01][0-9]|202[0-5]')", "pos": "SELECT DISTINCT document_id, sentence_id, 'NN' AS type, term AS value FROM tok WHERE length(term) > 1"}
 for _kind in ("date", "pos"):
-    _add(f"stitch_{_kind}_trigram", stitched_all(_kind, 3, corpus.text_corpus), f"WITH {TXT} SELECT ngram, type, value, count(*) AS cells FROM (SELECT DISTINCT document_id, sentence_id, term || ' ' || t1 || ' ' || t2 AS ngram FROM seq WHERE t2 IS NOT NULL AND gap <= 2 AND gap1 <= 2) JOIN ({_NOTE_TXT[_kind]}) USING (document_id, sentence_id) GROUP BY ALL")
+    _add(f"stitch_{_kind}_trigram", stitched(_kind, 3, corpus.text_corpus, ("type", "value")), f"WITH {TXT} SELECT type, value, count(*) AS cells FROM (SELECT DISTINCT document_id, sentence_id, term || ' ' || t1 || ' ' || t2 AS ngram FROM seq WHERE t2 IS NOT NULL AND gap <= 2 AND gap1 <= 2) JOIN ({_NOTE_TXT[_kind]}) USING (document_id, sentence_id) GROUP BY ALL")
 
 
 def posting_union(spark: SparkSession, path: str) -> DataFrame:
