@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, shingle_sets, slices, unused
+from .common import materialise, mix, shingle_sets, slices, small_batches, unused
 from .graph import components
 
 KEY_BYTES = 12
@@ -229,13 +229,15 @@ def links(seen: DataFrame, width: int, threshold: float, block: int, part_grams:
     parts = materialise(sized.select("group", F.ceil(F.greatest(F.col("n") / block, F.col("grams") / part_grams)).cast("int").alias("parts")), "parts")
     places = groups.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("code"), F.col("parts")).cast("int"))
     placed = sent.select("code", "set_key", "packed").hint("merge").join(places, "code")  # the same plan at every size
-    found = materialise(_gather(placed.repartition(n, "group", "part").sortWithinPartitions("group", "part"), width, threshold), "links")
+    with small_batches(seen.sparkSession):
+        found = materialise(_gather(placed.repartition(n, "group", "part").sortWithinPartitions("group", "part"), width, threshold), "links")
     packed = found.where(F.col("payload").isNotNull())
     first = parts.where("parts > 1").select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 2)).alias("part"), "parts")
     pairs = first.select("group", "part", F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("second"))
     left = pairs.join(packed.select("group", "part", "payload"), ["group", "part"])
     both = left.join(packed.select("group", F.col("part").alias("second"), F.col("payload").alias("other")), ["group", "second"])
-    more = materialise(_across(both.repartition(n, "group", "part", "second"), threshold), "links")
+    with small_batches(seen.sparkSession, 8):
+        more = materialise(_across(both.repartition(n, "group", "part", "second"), threshold), "links")
     return found.where(F.col("links").isNotNull()).select("set_key", "links", "least").unionByName(more)
 
 
@@ -262,12 +264,13 @@ def _named(seen: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _classes(docs: DataFrame, id_col: str, text: str, width: int, threshold: float, recall: float, rows: int, block: int, part_grams: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows' sets, the links found, and node, label of the sets that have links."""
-    seen = materialise(_sets(docs, id_col, text, width, plan_bands(threshold, recall, rows), rows), "sets")
+    with small_batches(docs.sparkSession):
+        seen = materialise(_sets(docs, id_col, text, width, plan_bands(threshold, recall, rows), rows), "sets")
     found = materialise(links(seen, width, threshold, block, part_grams), "links")
     return seen, found, components(found.select(F.col("set_key").alias("a"), F.col("least").alias("b")))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9999, rows: int = 6, block: int = 512, part_grams: int = 1 << 20) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9999, rows: int = 6, block: int = 512, part_grams: int = 1 << 18) -> DataFrame:
     """For each row: `id_col`, class_id, n_links (other texts with at least `threshold` in common), n_copies (rows of the same set)."""
     seen, found, classes = _classes(docs, id_col, text, width, threshold, recall, rows, block, part_grams)
     counts = found.groupBy("set_key").agg(F.sum("links").alias("n_links"))
@@ -278,7 +281,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int
     return out.select(F.col("doc").cast(docs.schema[id_col].dataType).alias(id_col), known.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9999, rows: int = 6, block: int = 512, part_grams: int = 1 << 20) -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9999, rows: int = 6, block: int = 512, part_grams: int = 1 << 18) -> DataFrame:
     """One row of each class, with all columns of `docs`: that of the least id (null last), then of the least hash of id and text; of rows
     that repeat it, one. Rows without words stay as they are."""
     seen, _, classes = _classes(docs, id_col, text, width, threshold, recall, rows, block, part_grams)
