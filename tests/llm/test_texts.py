@@ -783,3 +783,21 @@ def test_common_weight():
             for j in range(len(a)):
                 best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w[i] if a[j] == b[i] else 0)
         assert abs(decontaminate.common_weight(np.array(a), np.array(b), np.array(w)) - best[-1][-1]) < 1e-9
+
+
+def test_suffix_sends_by_partition_not_by_shard():
+    """What a task sends follows the partitions: many shards make no more rows than few, and hardly more bytes; all pieces reach their shards."""
+    import pyarrow as pa
+
+    rng = random.Random(71)
+    texts = [prose(rng, 400) for _ in range(300)]
+    texts[-1] = texts[0] + texts[-1]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(range(300), pa.int64()), pa.array(texts)], names=["doc", "key", "text"])
+    sent = {}
+    for shards in (8, 800):
+        made = list(suffix._send([batch], 100, shards, 8))
+        payload = [x.as_py() for b in made for x in b.column(1) if x.is_valid]
+        sent[shards] = len(payload), sum(map(len, payload))
+        spans = {tuple(r.values()) for b in suffix._receive(made, 100, 1 << 28) for r in b.to_pylist()}
+        assert spans and spans == sent.setdefault("spans", spans)
+    assert sent[8][0] == sent[800][0] == 8 and sent[800][1] < 1.3 * sent[8][1]
