@@ -289,3 +289,33 @@ def test_news_fields(spark, tmp_path):
             tar.addfile(info, io.BytesIO(xml.encode()))
     got = readers.news_archives(spark, str(tmp_path / "a.tar.gz"), extras=True).collect()
     assert len(got) == 1200 and got[0].fields == {"descriptors": ["A", "B"], "people": ["P"], "dsk": ["Sports"]} and got[0].timestamp is None
+
+
+def test_text_offsets_without_exchange(spark):
+    """Offsets of words and sentences are made within a row, whatever its length, and are those of a plain count; texts meet a query's cells last."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from cellweave.plans.engine import explain
+    from cellweave.sources import corpus
+
+    rows = [(1, "The first one. A the-cat!? \n\n the end"), (2, ""), (3, None), (4, "..!"), (5, "  The " * 9000 + "."), (6, ". the" * 5000), (7, "1999 Ünder the ice\nx")]
+    docs = spark.createDataFrame(rows, "document_id long, text string")
+    want, starts = set(), set()
+    for doc, text in rows:
+        ends = [0, *(m.end() for m in re.finditer(r"[.!?\n]+", text or ""))]
+        for k, piece in enumerate(re.split(r"[.!?\n]+", text or "")):
+            found = [(m.start(), m.end(), m.group()) for m in re.finditer(r"[^\W_]+", piece)]
+            want |= {(doc, k, a - found[0][0], z - found[0][0], w) for a, z, w in found}
+            starts |= {(doc, k, ends[k] + found[0][0])} if found else set()
+    made, at = corpus.annotate(docs), corpus.sentence_offsets(docs)
+    assert {tuple(r) for r in made.select("document_id", "sentence_id", "begin_char", "end_char", "token").collect()} == want
+    assert {tuple(r) for r in at.collect()} == starts
+    assert "Exchange" not in explain(made) and "Exchange" not in explain(at)
+    some = {tuple(r) for r in corpus.annotate(docs, ("the",)).select("document_id", "sentence_id", "begin_char", "end_char", "token").collect()}
+    assert some < want and {r for r in some if r[4].lower() == "the"} == {r for r in want if r[4].lower() == "the"}
+    texts = corpus.from_annotations(docs.select("document_id", F.lit("").alias("title"), "text", F.lit(None).cast("string").alias("timestamp")), made, None, frozenset(), at)
+    plan = Engine(spark, {"docs": texts}).sql("SELECT DOCUMENT_ID, SNIPPET(w, 3) FROM docs WHERE CONTAINS('the') BIND w")._jdf.queryExecution().optimizedPlan()
+    joins = [n for n in plan.toString().splitlines() if "Join " in n]
+    assert len(joins) == 2 and "cw_sentence" not in joins[0]
