@@ -2,8 +2,7 @@
 
 1. Terms are the words of the benchmark items; their passage frequencies are counted over all documents.
 2. A randomised SVD of the TF-IDF passage matrix is computed in a distributed way: tasks multiply their passages' rows
-   with a thin matrix and sum the products; two such passes give the right singular vectors. This fit uses the items and
-   a bounded sample of documents (`fit_docs`, those of the smallest hash of their id).
+   with a thin matrix and sum the products; two such passes over all documents and the items give the right singular vectors.
 3. Every document is cut into overlapping passages of `2 * step` words; each is projected and compared with all items
    by cosine. Frequencies and singular vectors are those of all items at once; a task compares its passages with blocks of at most
    `block` items, and documents are read again only for each further `pass_bytes` of item text, so neither changes a result. Items of more
@@ -38,6 +37,8 @@ from .common import Words, slices
 RARE = 0.7
 #: Parts compared at full weight at once.
 WIDE = 32
+#: Stretches of the terms in which tasks send their part of a product.
+PARTS = 8
 
 
 class Terms:
@@ -204,34 +205,50 @@ class Index:
         return np.where(self.pair[at] == key, self.share[at], 0)
 
 
-def _product(sample: DataFrame, items: Items, idf: np.ndarray, thin: np.ndarray) -> np.ndarray:
-    """(A^T A) thin, where A's rows are the sample's and the items' TF-IDF passages at unit length."""
-    terms, step = items.terms, items.step
-
-    def of(texts: list[str]) -> np.ndarray:
-        p = Passages(texts, terms, step)
-        out = np.zeros(thin.shape, np.float32)
-        if len(p.block):
-            squares = np.bincount(p.block, idf[p.term] ** 2, p.n_blocks)
-            length = np.sqrt(np.maximum(squares, 1e-9))
-            rows = np.zeros((p.n_blocks, thin.shape[1]), np.float32)
-            np.add.at(rows, p.block, (idf[p.term] / length[p.block])[:, None].astype(np.float32) * thin[p.term])
-            order = np.argsort(p.term, kind="stable")
-            start = np.flatnonzero(np.concatenate([[True], np.diff(p.term[order]) != 0]))
-            out[p.term[order][start]] = np.add.reduceat((idf[p.term] / length[p.block])[order, None] * rows[p.block[order]], start, axis=0)
-        return out
+def _product(docs: DataFrame, items: Items, idf: np.ndarray, thin: np.ndarray) -> np.ndarray:
+    """(A^T A) thin, where A's rows are the TF-IDF passages of all documents and items at unit length. Tasks send their sums in `PARTS` stretches of
+    the terms, and each stretch is added up in the order of the tasks before the driver gets it."""
+    terms, step, used = items.terms, items.step, idf > 0
+    wide = -(-len(thin) // PARTS)
+
+    def add(total: np.ndarray, texts: list[str]) -> None:
+        p = Passages(texts, terms, step).only(used)
+        if not len(p.block):
+            return
+        # terms stand in the order of their blocks
+        new = np.concatenate([[True], p.block[1:] != p.block[:-1]])
+        first, row, weight = np.flatnonzero(new), np.cumsum(new) - 1, idf[p.term]
+        x = (weight / np.sqrt(np.maximum(np.add.reduceat(weight**2, first), 1e-9))[row]).astype(np.float32)[:, None]
+        rows = np.add.reduceat(x * thin[p.term], first, axis=0)
+        order = np.argsort(p.term, kind="stable")
+        start = np.flatnonzero(np.concatenate([[True], np.diff(p.term[order]) != 0]))
+        total[p.term[order][start]] += np.add.reduceat(x[order] * rows[row[order]], start, axis=0)
 
     def run(batches):
-        total = np.zeros(thin.shape, np.float32)
+        from pyspark import TaskContext
+
+        total = np.zeros(thin.shape, np.float64)
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             for a, z in slices(texts):
-                total += of(texts[a:z])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+                add(total, texts[a:z])
+        some = [k for k in range(0, len(thin), wide) if total[k : k + wide].any()]
+        made = pa.array([total[k : k + wide].astype(np.float32).tobytes() for k in some], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([TaskContext.get().partitionId()] * len(some), pa.int64()), made], names=["at", "task", "part"])
+
+    def merge(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, part in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                part = np.frombuffer(part.as_buffer(), np.float32).astype(np.float64)
+                held[at] = held[at] + part if at in held else part
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["at", "part"])
 
+    sums = docs.mapInArrow(run, "at long, task long, part binary").repartition("at").sortWithinPartitions("at", "task").mapInArrow(merge, "at long, part binary")
     total = np.zeros(thin.shape, np.float64)
-    for r in sample.mapInArrow(run, "part binary").toLocalIterator():
-        total += np.frombuffer(r["part"], np.float32).reshape(thin.shape)
+    for r in sums.toLocalIterator():
+        part = np.frombuffer(r["part"], np.float64).reshape(-1, thin.shape[1])
+        total[r["at"] : r["at"] + len(part)] = part
     for _, w in items.parts:
         n = np.sqrt((idf[w] ** 2).sum())
         x = idf[w] / max(n, 1e-9)
@@ -239,17 +256,16 @@ def _product(sample: DataFrame, items: Items, idf: np.ndarray, thin: np.ndarray)
     return total
 
 
-def fit(docs: DataFrame, items: Items, text: str = "text", id_col: str = "doc_id", rank: int = 64, fit_docs: int = 2000, common: float = 0.02, tasks: int = 6, seed: int = 3) -> Weights:
+def fit(docs: DataFrame, items: Items, text: str = "text", rank: int = 64, common: float = 0.02, seed: int = 3) -> Weights:
+    """Frequencies and singular vectors, both of all passages: three passes over the documents."""
     counts, n = _frequencies(docs, items, text)
     idf = np.log(1 + (n + 1) / (counts + 1.0))
     rare = np.where(counts <= common * n, idf, 0)
-    place = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30))
-    share = min(1.0, fit_docs / max(docs.count(), 1))
-    sample = docs.where(place <= int(share * (1 << 30))).select(text).coalesce(tasks)
+    texts = docs.select(text)
     rng = np.random.default_rng(seed)
     wide = min(rank + 16, len(items.terms.codes))
-    q, _ = np.linalg.qr(_product(sample, items, rare, rng.standard_normal((len(items.terms.codes), wide)).astype(np.float32)))
-    values, vectors = np.linalg.eigh(q.T @ _product(sample, items, rare, q.astype(np.float32)))
+    q, _ = np.linalg.qr(_product(texts, items, rare, rng.standard_normal((len(items.terms.codes), wide)).astype(np.float32)))
+    values, vectors = np.linalg.eigh(q.T @ _product(texts, items, rare, q.astype(np.float32)))
     return Weights(items, idf, rare, q @ vectors[:, np.argsort(-values)[:rank]])
 
 
@@ -330,7 +346,7 @@ def search(docs: DataFrame, weights: Weights, indexes: list[Index], id_col: str
 
 def leaks(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", block: int = 1000, pass_bytes: int = 64 << 20, step: int = 16, **kw) -> DataFrame:
     """The leaks of all items. One fit holds for all of them; blocks and passes bound what a task holds at once."""
-    fits = ("text", "id_col", "rank", "fit_docs", "common")
+    fits = ("text", "rank", "common")
     rows = list(benchmark.select(F.col(item_col).cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).distinct().orderBy("i", "t").toLocalIterator())
     items = Items([r["i"] for r in rows], [r["t"] for r in rows], step)
     out = None
@@ -343,7 +359,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item
             now.append(Index(items.block(a, z), weights))
             held += sum(8 * len(w) for w in now[-1].items.words)
             if held >= pass_bytes or z == len(items.ids):
-                found = search(docs, weights, now, **{n: v for n, v in kw.items() if n not in ("rank", "fit_docs", "common")})
+                found = search(docs, weights, now, **{n: v for n, v in kw.items() if n not in ("rank", "common")})
                 out, now, held = found if out is None else out.unionByName(found), [], 0
     if out is None:
         id_col = kw.get("id_col", "doc_id")

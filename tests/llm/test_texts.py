@@ -801,3 +801,31 @@ def test_suffix_sends_by_partition_not_by_shard():
         spans = {tuple(r.values()) for b in suffix._receive(made, 100, 1 << 28) for r in b.to_pylist()}
         assert spans and spans == sent.setdefault("spans", spans)
     assert sent[8][0] == sent[800][0] == 8 and sent[800][1] < 1.3 * sent[8][1]
+
+
+def test_leaks_fit_all_passages(spark, monkeypatch):
+    """The singular vectors come from every document, also where there are many: both products are those of the whole matrix."""
+    from cellweave.llm import decontaminate as dc
+
+    rng = random.Random(72)
+    texts = [prose(rng, rng.randint(0, 40)) for _ in range(2600)]
+    docs = table(spark, list(enumerate(texts))).repartition(5)
+    items = dc.Items([1, 2], [texts[5] + " " + texts[6], prose(rng, 30)], 16)
+    seen = []
+
+    def product(rows, items, idf, thin, made=dc._product):
+        p = dc.Passages(texts, items.terms, 16)
+        a = np.zeros((p.n_blocks, len(idf)))
+        np.add.at(a, (p.block, p.term), idf[p.term])
+        n = np.zeros(p.n_blocks)
+        np.add.at(n, p.block, idf[p.term] ** 2)
+        a /= np.sqrt(np.maximum(n, 1e-9))[:, None]
+        got, plain = made(rows, items, idf, thin), made(docs.where("false").select("text"), items, idf, thin) + a.T @ (a @ thin)
+        assert np.abs(got - plain).max() < 1e-3 * np.abs(plain).max()
+        assert (made(rows, items, idf, thin) == got).all()
+        seen.append(rows.count())
+        return got
+
+    monkeypatch.setattr(dc, "_product", product)
+    dc.fit(docs, items, common=1.0)
+    assert seen == [2600, 2600]
