@@ -829,3 +829,15 @@ def test_leaks_fit_all_passages(spark, monkeypatch):
     monkeypatch.setattr(dc, "_product", product)
     dc.fit(docs, items, common=1.0)
     assert seen == [2600, 2600]
+
+
+def test_licenses_are_told_by_what_they_save(monkeypatch):
+    """Of overlapping findings the dictionary that saves most bytes wins, not the template with as many words that comes first by name; words are compared only after a saving."""
+    a, b, c, d, e = "incomprehensibilities", "counterrevolutionaries", "deinstitutionalization", "uncharacteristically", "electroencephalograph"
+    tool = licenses.Matcher({"saves more": [f"{a} {b} {c} {d} {e}"], "as many words": [f"{b} x y {c} {d}"]})
+    assert ("saves more", []) in [(f[1], f[4]) for f in tool.find(f"{a} {b} x y {c} {d} z {e}")]
+    seen = []
+    monkeypatch.setattr(licenses, "aligned", lambda t, b, made=licenses.aligned: seen.append(len(b)) or made(t, b))
+    tool = licenses.Matcher({"x": ["q w e r t y u i o p a s d f"]})
+    assert not tool.find("f d s a p o i u y t r e w q f d s a") and not seen
+    assert tool.find("q w e r t y u i o p a s d f")[0][1] == "x" and seen
