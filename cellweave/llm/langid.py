@@ -2,7 +2,7 @@
 
 Every whole text is normalised (lower case, letters, single spaces) and compressed once for each language with that
 language's Zstandard raw-content dictionary; the smallest frame wins. A text is rejected when the runner-up is less than `margin`
-bytes larger, or when it has no letter. `fit` chooses the margin on training rows that no dictionary holds.
+bytes larger, or when it has no letter. `fit` chooses the margin on all training rows that no dictionary may take from.
 
 A dictionary is a bounded sample (`dictionary_chars` characters a language) of segments from anywhere in the training texts, chosen by
 hash, so any part of any text can be in it.
@@ -48,9 +48,9 @@ def _hashed(name: str, *columns) -> Column:
     return F.pmod(F.xxhash64(F.lit(name), *columns), F.lit(1 << 30))
 
 
-def fit(train: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", dictionary_chars: int = 192_000, segment: int = 240, level: int = 3, lost: float = 0.002, most_margin: int = 3, calibration_rows: int = 2000) -> LanguageModel:
+def fit(train: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", dictionary_chars: int = 192_000, segment: int = 240, level: int = 3, lost: float = 0.002, most_margin: int = 3) -> LanguageModel:
     """Dictionaries from seven eighths of the rows: about `dictionary_chars` of each language, in segments of `segment` characters, those of the
-    smallest hash. The margin, 1 to `most_margin` bytes, is the largest that loses at most the share `lost` of about `calibration_rows` other rows
+    smallest hash. The margin, 1 to `most_margin` bytes, is the largest that loses at most the share `lost` of all other rows (an eighth)
     that are told right. Counts are of all rows."""
     key = F.col(id_col).cast("string")
     rows = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.col(lang) != UNKNOWN)).select(key.alias("cw_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
@@ -85,10 +85,9 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
         if raw:
             made[k] = (raw + b" ") * (8 // len(raw) + 1) if len(raw) < 8 else raw
     model = LanguageModel(made, counts, level)
-    n = sum(counts.values())
-    probe = rows.where((side == 0) & (_hashed("probe", "cw_id") < int(min(1.0, 8 * calibration_rows / n) * (1 << 30))))
-    right = [r["n"] for r in identify(probe, model, ["lang"]).where("lang = lang_pred").select(F.least("margin_bytes", F.lit(most_margin)).alias("n")).toLocalIterator()]
-    while model.margin < most_margin and sum(m < model.margin + 1 for m in right) - sum(m < 1 for m in right) <= lost * len(right):
+    told = identify(rows.where(side == 0), model, ["lang"]).where("lang = lang_pred")
+    right = {r["m"]: r["n"] for r in told.groupBy(F.least("margin_bytes", F.lit(most_margin)).alias("m")).agg(F.count("*").alias("n")).collect()}
+    while model.margin < most_margin and sum(n for m, n in right.items() if 1 <= m <= model.margin) <= lost * sum(right.values()):
         model.margin += 1
     return model
 

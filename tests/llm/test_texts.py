@@ -841,3 +841,12 @@ def test_licenses_are_told_by_what_they_save(monkeypatch):
     tool = licenses.Matcher({"x": ["q w e r t y u i o p a s d f"]})
     assert not tool.find("f d s a p o i u y t r e w q f d s a") and not seen
     assert tool.find("q w e r t y u i o p a s d f")[0][1] == "x" and seen
+
+
+def test_language_margin_is_of_all_other_rows(spark, monkeypatch):
+    """The margin follows every training row of the eighth that makes no dictionary, also where those are many."""
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "IF(id % 2 = 0, 'aa', 'bb') AS lang", "IF(id % 2 = 0, 'one word ', 'ein wort ') || repeat('ab', CAST(id % 7 AS int)) AS text")
+    seen = []
+    monkeypatch.setattr(langid, "identify", lambda docs, *a, made=langid.identify: seen.append(docs.count()) or made(docs, *a))
+    langid.fit(rows)
+    assert seen == [rows.where("pmod(xxhash64('side', CAST(doc_id AS string)), 8) = 0").count()] and seen[0] > 2300
