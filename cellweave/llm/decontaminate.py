@@ -219,7 +219,11 @@ def _product(docs: DataFrame, items: Items, idf: np.ndarray, thin: np.ndarray) -
         new = np.concatenate([[True], p.block[1:] != p.block[:-1]])
         first, row, weight = np.flatnonzero(new), np.cumsum(new) - 1, idf[p.term]
         x = (weight / np.sqrt(np.maximum(np.add.reduceat(weight**2, first), 1e-9))[row]).astype(np.float32)[:, None]
-        rows = np.add.reduceat(x * thin[p.term], first, axis=0)
+        # the first terms of all blocks, then the second ones: blocks are short, so this takes few steps
+        rows, nth = x[first] * thin[p.term[first]], np.arange(len(row)) - first[row]
+        for k in range(1, int(nth.max()) + 1):
+            at = np.flatnonzero(nth == k)
+            rows[row[at]] += x[at] * thin[p.term[at]]
         order = np.argsort(p.term, kind="stable")
         start = np.flatnonzero(np.concatenate([[True], np.diff(p.term[order]) != 0]))
         total[p.term[order][start]] += np.add.reduceat(x[order] * rows[row[order]], start, axis=0)
