@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, slices
+from .common import Words, mix, slices
 
 
 #: A document without a fifth of a part's rare weight can reach `cover_with_answer` of its full weight only below 0.6875.
@@ -39,15 +39,56 @@ RARE = 0.7
 WIDE = 32
 #: Stretches of the terms in which tasks send their part of a product.
 PARTS = 8
+#: What is kept of eight bytes where a word ends after so many.
+KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+class Coded(Words):
+    """Words with codes made of eight bytes at a time: those of up to eight bytes differ for sure, longer ones as hashes do."""
+
+    def _codes(self) -> np.ndarray:
+        size = self.end - self.start
+        eight = np.ndarray(len(self.data), "<u8", self.data + bytes(7), strides=(1,))
+        code = mix(eight[self.start] & KEEP[np.minimum(size, 8)])
+        long = np.flatnonzero(size > 8)
+        if len(long):
+            n = (size[long] + 7) >> 3
+            first = np.cumsum(n) - n
+            k = np.arange(int(n.sum())) - np.repeat(first, n)
+            piece = eight[np.repeat(self.start[long], n) + 8 * k] & KEEP[np.minimum(np.repeat(size[long], n) - 8 * k, 8)]
+            code[long] = mix(np.add.reduceat(mix(piece + mix(k + 1)), first))
+        return code
+
+
+def run_sums(table: np.ndarray, at: np.ndarray, start: np.ndarray, steps: int = 16) -> np.ndarray:
+    """Sums of the rows `at` of `table` over the runs that begin at `start`. The first rows of all runs are taken at once, then the second ones:
+    runs are short, so this takes few steps; longer ones are cut into pieces of `steps` rows."""
+    size = np.diff(start, append=len(at))
+    pieces = -(-size // steps)
+    first = np.cumsum(pieces) - pieces
+    begin = np.repeat(start - steps * first, pieces) + steps * np.arange(int(pieces.sum()))
+    length = np.minimum(np.repeat(start + size, pieces) - begin, steps)
+    order = np.argsort(-length, kind="stable")
+    begin, longer = begin[order], np.cumsum(np.bincount(length, minlength=steps + 1)[::-1])[::-1]
+    rows = table[at[begin]]
+    for k in range(1, steps):
+        m = int(longer[k + 1])
+        if not m:
+            break
+        rows[:m] += table[at[begin[:m] + k]]
+    out = np.empty_like(rows)
+    out[order] = rows
+    return out if len(out) == len(start) else np.add.reduceat(out, first, axis=0)
 
 
 class Terms:
-    """Codes of the items' words, found among other codes by a table of their first bits."""
+    """Codes of the items' words, found among other codes by a table of their first bits. Their numbers are in the order of `by`."""
 
     SHIFT = np.uint64(44)
 
-    def __init__(self, codes: np.ndarray):
-        self.codes = np.unique(codes)
+    def __init__(self, codes: np.ndarray, by: np.ndarray):
+        self.codes, at = np.unique(codes, return_index=True)
+        self.number = np.argsort(np.argsort(by[at], kind="stable"))
         self.slot = np.zeros(1 << 20, bool)
         self.slot[(self.codes >> self.SHIFT).astype(np.int64)] = True
 
@@ -56,7 +97,7 @@ class Terms:
         at = np.flatnonzero(self.slot[(codes >> self.SHIFT).astype(np.int64)])
         k = np.minimum(np.searchsorted(self.codes, codes[at]), len(self.codes) - 1)
         ok = self.codes[k] == codes[at]
-        return at[ok], k[ok]
+        return at[ok], self.number[k[ok]]
 
 
 def _parts(words: np.ndarray, width: int) -> list[np.ndarray]:
@@ -71,12 +112,14 @@ class Items:
     """Benchmark items: ids, their words' codes, the terms of all of them, and the parts they are searched by."""
 
     def __init__(self, ids: list, texts: list[str], step: int):
-        w = Words(texts)
+        w = Coded(texts)
         bounds = w.first_of_row()
         keep = [i for i in range(len(texts)) if bounds[i + 1] > bounds[i]]
         self.ids, self.step = [ids[i] for i in keep], step
-        self.terms = Terms(w.code)
-        self.words = [np.searchsorted(self.terms.codes, w.code[bounds[i] : bounds[i + 1]]) for i in keep]
+        # the order of the terms decides the random start of the fit; that of `Words` keeps results as they were with its codes
+        self.terms = Terms(w.code, Words(texts).code)
+        _, number = self.terms.find(w.code)
+        self.words = [number[bounds[i] : bounds[i + 1]] for i in keep]
         self.parts = [(i, part) for i, words in enumerate(self.words) for part in _parts(words, 2 * step)]
         self.item_of = np.array([i for i, _ in self.parts], np.int64)
 
@@ -93,7 +136,7 @@ class Passages:
     """Blocks of `step` words of several texts: term numbers by place, and where each block and each text begins."""
 
     def __init__(self, texts: list[str], terms: Terms, step: int):
-        w = Words(texts)
+        w = Coded(texts)
         self.bounds = w.first_of_row()
         count = np.diff(self.bounds)
         blocks = -(-count // step)
@@ -127,7 +170,7 @@ class Passages:
         out = np.zeros((self.n_blocks, table.shape[1]), np.float32)
         if len(self.block):
             start = np.flatnonzero(np.concatenate([[True], self.block[1:] != self.block[:-1]]))
-            out[self.block[start]] = np.add.reduceat(table[self.term], start, axis=0)
+            out[self.block[start]] = run_sums(table, self.term, start)
         both = out.copy()
         both[:-1][self.paired[:-1]] += out[1:][self.paired[:-1]]
         return both
@@ -144,8 +187,8 @@ def _frequencies(docs: DataFrame, items: Items, text: str) -> tuple[np.ndarray,
             for a, z in slices(texts):
                 p = Passages(texts[a:z], terms, step)
                 passages += p.n_blocks
-                key = np.unique(p.block * len(terms.codes) + p.term)
-                total += np.bincount(key % len(terms.codes), minlength=len(terms.codes))
+                key = np.sort(p.block * len(terms.codes) + p.term)
+                total += np.bincount(key[np.diff(key, prepend=-1) != 0] % len(terms.codes), minlength=len(terms.codes))
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *found.tolist()], pa.int64()), pa.array([passages, *total[found].tolist()], pa.int64())], names=["term", "n"])
 
@@ -178,6 +221,8 @@ class Index:
         distinct = [np.unique(w) for w in parts]
         self.n_terms = len(idf)
         self.pair = np.concatenate([k * self.n_terms + w for k, w in enumerate(distinct)])
+        self.slot = np.zeros(1 << 20, bool)
+        self.slot[self.place(self.pair)] = True
         self.full = np.array([rare[w].sum() < RARE * idf[w].sum() for w in distinct])
         by = [idf if f else rare for f in self.full]
         self.share = np.concatenate([x[w] / max(x[w].sum(), 1e-9) for x, w in zip(by, distinct, strict=True)]).astype(np.float32)
@@ -200,9 +245,17 @@ class Index:
         return near, portion
 
     def shares(self, part: np.ndarray, term: np.ndarray) -> np.ndarray:
-        key = part * self.n_terms + term
+        key, out = part * self.n_terms + term, np.zeros(len(part), np.float32)
+        some = np.flatnonzero(self.slot[self.place(key)])
+        key = key[some]
         at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        return np.where(self.pair[at] == key, self.share[at], 0)
+        out[some] = np.where(self.pair[at] == key, self.share[at], 0)
+        return out
+
+    @staticmethod
+    def place(key: np.ndarray) -> np.ndarray:
+        """Where `slot` tells whether a key may be among the pairs."""
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> Terms.SHIFT).astype(np.int64)
 
 
 def _product(docs: DataFrame, items: Items, idf: np.ndarray, thin: np.ndarray) -> np.ndarray:
@@ -211,31 +264,28 @@ def _product(docs: DataFrame, items: Items, idf: np.ndarray, thin: np.ndarray) -
     terms, step, used = items.terms, items.step, idf > 0
     wide = -(-len(thin) // PARTS)
 
-    def add(total: np.ndarray, texts: list[str]) -> None:
+    def add(total: np.ndarray, scaled: np.ndarray, texts: list[str]) -> None:
         p = Passages(texts, terms, step).only(used)
         if not len(p.block):
             return
         # terms stand in the order of their blocks
         new = np.concatenate([[True], p.block[1:] != p.block[:-1]])
-        first, row, weight = np.flatnonzero(new), np.cumsum(new) - 1, idf[p.term]
-        x = (weight / np.sqrt(np.maximum(np.add.reduceat(weight**2, first), 1e-9))[row]).astype(np.float32)[:, None]
-        # the first terms of all blocks, then the second ones: blocks are short, so this takes few steps
-        rows, nth = x[first] * thin[p.term[first]], np.arange(len(row)) - first[row]
-        for k in range(1, int(nth.max()) + 1):
-            at = np.flatnonzero(nth == k)
-            rows[row[at]] += x[at] * thin[p.term[at]]
+        first, row = np.flatnonzero(new), np.cumsum(new) - 1
+        squares = np.add.reduceat(idf[p.term] ** 2, first)
+        rows = run_sums(scaled, p.term, first) / np.maximum(squares, 1e-9).astype(np.float32)[:, None]
         order = np.argsort(p.term, kind="stable")
-        start = np.flatnonzero(np.concatenate([[True], np.diff(p.term[order]) != 0]))
-        total[p.term[order][start]] += np.add.reduceat(x[order] * rows[row[order]], start, axis=0)
+        start = np.flatnonzero(np.diff(p.term[order], prepend=-1))
+        total[p.term[order][start]] += run_sums(rows, row[order], start)
 
     def run(batches):
         from pyspark import TaskContext
 
-        total = np.zeros(thin.shape, np.float64)
+        total, scaled = np.zeros(thin.shape, np.float64), (idf[:, None] * thin).astype(np.float32)
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             for a, z in slices(texts):
-                add(total, texts[a:z])
+                add(total, scaled, texts[a:z])
+        total *= idf[:, None]
         some = [k for k in range(0, len(thin), wide) if total[k : k + wide].any()]
         made = pa.array([total[k : k + wide].astype(np.float32).tobytes() for k in some], pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([TaskContext.get().partitionId()] * len(some), pa.int64()), made], names=["at", "task", "part"])
@@ -300,7 +350,7 @@ def search(docs: DataFrame, weights: Weights, indexes: list[Index], id_col: str
         for k in range(0, p.n_blocks, rows):
             near = made[k : k + rows] @ index.vectors.T
             near[:, index.whole] = -1
-            b, i = np.nonzero(near >= cosine)
+            b, i = np.divmod(np.flatnonzero(near >= cosine), len(items.parts))
             enough = used.overlaps(b + k, i, index) >= overlap
             for b, i in zip(b[enough].tolist(), i[enough].tolist(), strict=True):
                 hits.setdefault((int(p.row_of[k + b]), int(items.item_of[i])), []).append((k + b, float(near[b, i])))
@@ -309,6 +359,7 @@ def search(docs: DataFrame, weights: Weights, indexes: list[Index], id_col: str
     def best_cover(p: Passages, number: np.ndarray, row: int, found: list[tuple[int, float]], words: np.ndarray, own: np.ndarray) -> tuple[float, float]:
         """The item's largest share, and its answer's, in the surroundings of a run of passages."""
         step, total, best, at = p.step, own.sum(), (0.0, 0.0), 0
+        held = np.zeros(len(weights.idf) + 1, bool)
         while at < len(found):
             end = at
             while end + 1 < len(found) and found[end + 1][0] - found[end][0] <= 2:
@@ -316,7 +367,11 @@ def search(docs: DataFrame, weights: Weights, indexes: list[Index], id_col: str
             first = p.bounds[row] + (found[at][0] - p.first_block[row]) * step
             last = p.bounds[row] + (found[end][0] - p.first_block[row] + 2) * step
             region = number[max(p.bounds[row], first - len(words)) : min(p.bounds[row + 1], last + len(words))]
-            if own[np.isin(words, region)].sum() >= cover_with_answer * total:
+            held[region] = True
+            held[-1] = False
+            there = own[held[words]].sum()
+            held[region] = False
+            if there >= cover_with_answer * total:
                 tail = own[-answer:].sum()
                 best = max(best, (common_weight(region, words, own) / total, common_weight(region, words[-answer:], own[-answer:]) / tail))
             at = end + 1

@@ -850,3 +850,42 @@ def test_language_margin_is_of_all_other_rows(spark, monkeypatch):
     monkeypatch.setattr(langid, "identify", lambda docs, *a, made=langid.identify: seen.append(docs.count()) or made(docs, *a))
     langid.fit(rows)
     assert seen == [rows.where("pmod(xxhash64('side', CAST(doc_id AS string)), 8) = 0").count()] and seen[0] > 2300
+
+
+def test_leaks_find_terms_in_less_than_a_word_pass():
+    """Finding the items' words costs less than hashing each byte of the texts, and finds what that finds: words of any length and script, at any place."""
+    import time
+
+    from cellweave.llm import decontaminate as dc
+    from cellweave.llm.common import Words
+
+    rng = random.Random(73)
+    odd = ["", None, "x", "é", "12345678", "123456789", "1234567_1234567", "A" * 16, "a" * 17, "b" * 5000, "語" * 40 + "!" + "語" * 41, "abcdefgh abcdefgi abcdefghabcdefgh abcdefghabcdefgi abcdefgiabcdefgh", "\ud800 z"]
+    texts = [t or "" for t in odd] + [prose(rng, rng.randint(0, 90)) for _ in range(60)] + ["z" * k for k in range(40)]
+    for of in ([*texts[2:13], "z " + "z" * 9 + " " + "z" * 33], texts[13:20], texts[5:6]):
+        items, w, known = dc.Items(list(range(len(of))), of, 16), Words(texts), np.unique(Words(of).code)
+        p, at = dc.Passages(texts, items.terms, 16), np.flatnonzero(np.isin(w.code, known))
+        assert (p.at == at).all() and (p.all_terms == np.searchsorted(known, w.code[at])).all()
+        assert [x.tolist() for x in items.words] == [np.searchsorted(known, Words([t]).code).tolist() for t in of if len(Words([t]).code)]
+    long, items = [prose(rng, 1000) for _ in range(150)], dc.Items([1], [prose(rng, 40)], 16)
+
+    def cost(run) -> float:
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            run()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert cost(lambda: dc.Passages(long, items.terms, 16)) < 0.8 * cost(lambda: Words(long))
+
+
+def test_leaks_sum_runs_of_any_length():
+    from cellweave.llm import decontaminate as dc
+
+    rng = np.random.default_rng(74)
+    for sizes in ([1], [16, 17, 1, 33], [5000], rng.integers(1, 16, 300), rng.integers(1, 90, 200)):
+        start, table = np.cumsum([0, *sizes])[:-1], rng.standard_normal((50, 7))
+        at = rng.integers(0, 50, int(np.sum(sizes)))
+        got = dc.run_sums(table, at, start)
+        assert np.allclose(got, [table[at[a : a + n]].sum(axis=0) for a, n in zip(start, sizes, strict=True)])
