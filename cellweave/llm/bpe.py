@@ -23,13 +23,17 @@ import hashlib
 import itertools
 import json
 import re
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import pieces
+
 #: White space of Unicode, as the vocabulary file's normaliser sees it. Fixed values.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -49,8 +53,10 @@ def byte_letters() -> list[str]:
 
 #: Where a document may be cut; words longer than `LONG` are not kept.
 BREAK, LONG = re.compile(r"[ \n]"), 64
-#: Lengths of word beginnings whose states are kept for other words; all are shorter than any span of live positions.
+#: Lengths of word beginnings whose states are kept for other words; all are shorter than any span of live positions, and than 16.
 SHARED = (12, 8, 5)
+#: In a kept state: no token ends here.
+NONE = 0xFFFFFFFF
 
 
 class Encoder:
@@ -76,7 +82,8 @@ class Encoder:
         self.by_pair = {a << 20 | b: k for (a, b), k in self.rank.items()}
         self.left_edge = {t: self._spine(t, 0) for t in self.usable.values()}
         self.right_edge = {t: self._spine(t, 1) for t in self.usable.values()}
-        self.begun: dict[str, dict[int, tuple[int, int]]] = {}
+        # by position from 1 on: the token that ends there, shifted by 4, and where it starts
+        self.begun: dict[str, array] = {}
         self.buffered, self.bound = 0, self.lookahead()
 
     def _size(self, token: str) -> int:
@@ -126,7 +133,7 @@ class Encoder:
         done = begun = 0
         for p in SHARED:
             if p < n and (known := self.begun.get(word[:p])) is not None:
-                last, begun = known.copy(), p
+                last, begun = {k: (x >> 4, x & 15) for k, x in enumerate(known, 1) if x != NONE}, p
                 break
         for i in range(begun + 1, n + 1):
             end = tail if i == n else ""
@@ -152,9 +159,9 @@ class Encoder:
                 last[i] = t, j
                 break
             if i in SHARED and i < n:
-                if len(self.begun) >= 150_000:
+                if len(self.begun) >= 60_000:
                     self.begun.clear()
-                self.begun[word[:i]] = last.copy()
+                self.begun[word[:i]] = array("I", [last[k][0] << 4 | last[k][1] if k in last else NONE for k in range(1, i + 1)])
             if i - done >= 4 * most and i % most == 0 and i < n:
                 live = {p for p in range(i - most + 1, i + 1) if p in last}
                 while len(live) > 1:
@@ -228,7 +235,7 @@ class WordBpe:
     `library_text` decodes as the library does for a file without a decoder (token strings with spaces between);
     `text` decodes to plain words."""
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 300_000, cache_bytes: int = 40 << 20):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -242,9 +249,14 @@ class WordBpe:
         # white space only parts words, so runs of it need no replacement first
         self.words = regex.compile(pattern.replace(r"\s", SPACE))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.cache: dict[str, tuple[str, str, int]] = {}
-        self.old: dict[str, tuple[str, str, int]] = {}
-        self.limit = cache
+        # ids of words, packed: a worker holds two of these beside its executor, of at most so many words and so many bytes of words and ids
+        self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.limit, self.limit_bytes, self.held = cache, cache_bytes, 0
+        top = max(self.string) + 1
+        self.packed = "H" if top <= 1 << 16 else "I"
+        self.id_bytes = [b"%d" % k for k in range(top)]
+        self.string_bytes = [self.string.get(k, "").encode("utf-8", "surrogatepass") for k in range(top)]
         self.decoder, self.plain = Decoder(self.string, self.suffix, plain=False), Decoder(self.string, self.suffix)
 
     def word_ids(self, word: str) -> Iterator[int]:
@@ -284,28 +296,22 @@ class WordBpe:
     def text(self, ids) -> str:
         return self.plain.all(ids)
 
-    def _known(self, special: bool, word: str) -> tuple[str, str, int]:
-        """Ids, decoded text and number of ids of a word of up to `LONG` characters, or of a special string."""
+    def _known(self, special: bool, word: str) -> bytes:
+        """Packed ids of a word of up to `LONG` characters, or of a special string."""
         found = self.cache.get(word)
         if found is None:
             found = self.old.get(word)
             if found is None:
-                ids = [self.special[word]] if special else list(self.word_ids(word))
-                found = " ".join(map(str, ids)), self.library_text(ids), len(ids)
-            if len(self.cache) >= self.limit:
-                self.old, self.cache = self.cache, {}
+                found = array(self.packed, [self.special[word]] if special else self.word_ids(word)).tobytes()
+            if len(self.cache) >= self.limit or self.held >= self.limit_bytes:
+                self.old, self.cache, self.held = self.cache, {}, 0
             self.cache[word] = found
+            self.held += sys.getsizeof(word) + sys.getsizeof(found)
         return found
 
-    def _long(self, word: str) -> Iterator[tuple[str, str, int]]:
-        """The same of a longer word, in blocks of ids."""
-        ids = self.word_ids(word)
-        while some := list(itertools.islice(ids, BLOCK)):
-            yield " ".join(map(str, some)), self.library_text(some), len(some)
-
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of tokens, hash of the ids, hash of the decoded text; hashes are fed in blocks."""
-        n, a, b, known, glue = 0, hashlib.sha256(), hashlib.sha256(), self._known, ""
+    def _blocks(self, text: str) -> Iterator[array | list[int]]:
+        """The text's ids, some thousands at once; those of a longer word in blocks of their own."""
+        known = self._known
         for special, words in self.parts(text):
             get = self.cache.get
             for k in range(0, len(words), BLOCK):
@@ -315,20 +321,24 @@ class WordBpe:
                     if x is None:
                         if len(w) > LONG and not special:
                             # what stands before it goes first
-                            for y in itertools.chain([tuple(map(" ".join, list(zip(*got, strict=True))[:2])) + (sum(g[2] for g in got),)] if got else [], self._long(w)):
-                                a.update((glue + y[0]).encode())
-                                b.update((glue + y[1]).encode("utf-8", "surrogatepass"))
-                                n, glue = n + y[2], " "
-                            got = []
+                            yield array(self.packed, b"".join(got))
+                            got, ids = [], self.word_ids(w)
+                            while some := list(itertools.islice(ids, BLOCK)):
+                                yield some
                             continue
                         x = known(special, w)
                         get = self.cache.get
                     got.append(x)
-                if got:
-                    a.update((glue + " ".join([x[0] for x in got])).encode())
-                    b.update((glue + " ".join([x[1] for x in got])).encode("utf-8", "surrogatepass"))
-                    n += sum([x[2] for x in got])
-                    glue = " "
+                yield array(self.packed, b"".join(got))
+
+    def digest(self, text: str) -> tuple[int, str, str]:
+        """Number of tokens, hash of the ids, hash of the decoded text (as `library_text` has it); hashes are fed in blocks."""
+        n, a, b, glue, number, string = 0, hashlib.sha256(), hashlib.sha256(), b"", self.id_bytes, self.string_bytes
+        for ids in self._blocks(text):
+            if ids:
+                a.update(glue + b" ".join([number[i] for i in ids]))
+                b.update(glue + b" ".join([string[i] for i in ids]))
+                n, glue = n + len(ids), b" "
         return n, a.hexdigest(), b.hexdigest()
 
 
@@ -349,7 +359,7 @@ def encode_documents(docs: DataFrame, path: str, keep: list[str], text: str = "t
 
     def run(batches):
         tool = _tool(path)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [t or "" for t in batch.column("cw_text").to_pylist()]
             found = [tool.digest(t) for t in texts]
             cols = [batch.column(c) for c in keep] + [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]

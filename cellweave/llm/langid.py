@@ -21,6 +21,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 UNKNOWN = "und"
 
 
@@ -98,7 +100,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
 
     def run(batches):
         tools = model.compressors()
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column("cw_normal").to_pylist()
             names, scores, margins = [], [], []
             for t in texts:

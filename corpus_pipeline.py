@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm import bpe, decontaminate, langid, neardup, queries, secrets
-from cellweave.llm.common import fold, materialise
+from cellweave.llm.common import fold, materialise, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -33,7 +33,8 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Null and empty texts stay. All rows of an id go if one of them leaks, repeated rows and a null id included. With no items, or none with words,
     all stay."""
-    found = decontaminate.leaks(docs, queries.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    with small_batches(spark):
+        found = materialise(decontaminate.leaks(docs, queries.table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
     return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti").select(*COLUMNS)
 
 
@@ -48,7 +49,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text, one row a document.
 
     Null and empty texts have no tokens and the digests of the empty string. Repeated rows repeat theirs. An empty table gives no rows."""
-    return bpe.encode_documents(docs, queries.tokenizer_path(), ["doc_id", "lang", "source"])
+    with small_batches(spark):
+        return materialise(bpe.encode_documents(docs, queries.tokenizer_path(), ["doc_id", "lang", "source"]), "tokens")
 
 
 STAGES = [("language", language), ("near_copies", near_copies), ("benchmark_passages", benchmark_passages), ("secret_spans", secret_spans), ("tokens", tokens)]

@@ -427,6 +427,44 @@ def test_streaming_encoder_is_bounded():
     assert tool.text(tool.ids("Hello wörld 😀")) == "hello wörld 😀 "
 
 
+def test_word_caches_are_small():
+    """What a worker keeps of words: under 200 bytes a word, under 400 a beginning, in all no more than `cache_bytes` twice; results stay the same."""
+    import sys
+
+    def deep(x):
+        own = sys.getsizeof(x)
+        if isinstance(x, dict):
+            return own + sum(deep(k) + deep(v) for k, v in x.items())
+        return own + (sum(map(deep, x)) if isinstance(x, tuple) else 0)
+
+    rng = random.Random(23)
+    words = ["".join(rng.choices("aeinrstlochéü", k=rng.randint(5, 15))) for _ in range(30_000)]
+    text = " ".join(words + words[:500]) + " " + "x" * 300 + " end"
+    tool = bpe.WordBpe(queries.tokenizer_path())
+    n, ids_sha, text_sha = tool.digest(text)
+    held = len(tool.cache) + len(tool.old)
+    assert held > 25_000 and deep(tool.cache) + deep(tool.old) < 200 * held
+    assert len(tool.encoder.begun) > 1000 and deep(tool.encoder.begun) < 400 * len(tool.encoder.begun)
+    ids = list(tool.ids(text))
+    assert (n, ids_sha) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+    assert text_sha == hashlib.sha256(tool.library_text(ids).encode()).hexdigest()
+    little = bpe.WordBpe(queries.tokenizer_path(), cache_bytes=100_000)
+    assert little.digest(text) == (n, ids_sha, text_sha)
+    assert all(sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in c.items()) < 101_000 for c in (little.cache, little.old))
+
+
+def test_pieces_of_batches_give_the_same_rows():
+    import pyarrow as pa
+
+    from cellweave.llm.common import pieces
+
+    kind = pa.schema([("a", pa.int64()), ("t", pa.string())])
+    batches = [pa.record_batch([pa.array(range(n), pa.int64()), pa.array([None if k % 7 == 0 else str(k) for k in range(n)], pa.string())], schema=kind) for n in (0, 1, 1000, 2501)]
+    got = list(pieces(iter(batches)))
+    assert [b.num_rows for b in got] == [1, 1000, 1000, 1000, 501]
+    assert pa.Table.from_batches(got).equals(pa.Table.from_batches(batches))
+
+
 def test_encoder_against_plain_merging():
     """Random merge lists with tokens that several merges could make."""
     rng = random.Random(8)
